@@ -52,53 +52,50 @@ def _days(n: Column) -> Column:
     return F.make_dt_interval(n.cast("int"))
 
 
-def _head(family: int, kind: str, pid: Column, k: Column, date: Column, party: Column, gross: Column, ref: Column) -> Column:
-    return F.struct(
-        F.lit(family).alias("fam"),
-        F.lit(kind).alias("kind"),
-        pid.alias("PostingID"),
-        k.alias("k"),
-        date.cast("timestamp_ntz").alias("PostingDate"),
-        party.cast("string").alias("Counterparty"),
-        gross.cast("bigint").alias("gross"),
-        ref.cast("string").alias("RefPostingID"),
+def _id(prefix: str, k: Column) -> Column:
+    return F.concat(F.lit(prefix), k.cast("string"))
+
+
+HEAD_COLUMNS = ("fam", "kind", "PostingID", "k", "PostingDate", "Counterparty", "gross", "RefPostingID")
+
+
+def _heads(df: DataFrame, fam: Column, kind: Column, pid: Column, date: Column, party: Column, gross: Column, ref: Column) -> DataFrame:
+    return df.select(
+        fam.cast("int").alias("fam"), kind.alias("kind"), pid.alias("PostingID"), "k", date.cast("timestamp_ntz").alias("PostingDate"),
+        party.cast("string").alias("Counterparty"), gross.cast("bigint").alias("gross"), ref.cast("string").alias("RefPostingID"),
     )
 
 
-def _id(prefix: str, k: Column) -> Column:
-    return F.concat(F.lit(prefix), k.cast("string"))
+def _copies(df: DataFrame, last: int, keep: Column) -> DataFrame:
+    """Each row once per ``post`` number 0..last for which ``keep`` holds."""
+    return df.select("*", F.explode(F.array(*[F.lit(i) for i in range(last + 1)])).alias("post")).filter(keep)
 
 
 def posting_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per posting: family, key, date, counterparty, gross cents, reference."""
     none = F.lit(None)
-    k = F.col("k")
+    k, post = F.col("k"), F.col("post")
 
     sales = (
         table(spark, sf_dir, "orders")
         .join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            F.col("o_orderkey").alias("k"),
-            F.col("o_orderdate").alias("d"),
-            F.col("c_name").alias("cp"),
+            F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"), F.col("c_name").alias("cp"),
             _cents("o_totalprice").alias("g"),
         )
     )
-    invoice = F.when(
-        k % 10 == 0, _head(0, "CS", _id("SI-", k), k, F.col("d"), F.col("cp"), F.col("g"), none)
-    ).otherwise(_head(0, "SI", _id("SI-", k), k, F.col("d"), F.col("cp"), F.col("g"), none))
-    receipt = F.when(
-        (k % 10 != 0) & (k % 4 != 0),
-        _head(
-            1, "CR", _id("CR-", k), k, F.col("d") + _days(k % 75), F.col("cp"), F.col("g"),
-            F.when(k % 101 == 0, _id("PI-", k)).otherwise(_id("SI-", k)),
-        ),
-    )
-    copy = F.when(
-        k % 250 == 3,
-        _head(2, "SI", F.concat(_id("SI-", k), F.lit("-D")), k, F.col("d"), F.col("cp"), F.col("g"), none),
+    cash, receipt, copy = k % 10 == 0, post == 1, post == 2
+    sales = _copies(sales, 2, (post == 0) | (receipt & ~cash & (k % 4 != 0)) | (copy & (k % 250 == 3)))
+    sales_heads = _heads(
+        sales,
+        fam=post,
+        kind=F.when(receipt, "CR").when(cash, "CS").otherwise("SI"),
+        pid=F.when(receipt, _id("CR-", k)).when(copy, F.concat(_id("SI-", k), F.lit("-D"))).otherwise(_id("SI-", k)),
+        date=F.when(receipt, F.col("d") + _days(k % 75)).otherwise(F.col("d")),
+        party=F.col("cp"),
+        gross=F.col("g"),
+        ref=F.when(receipt, F.when(k % 101 == 0, _id("PI-", k)).otherwise(_id("SI-", k))),
     )
-    sales_heads = sales.select(F.inline(F.array_compact(F.array(invoice, receipt, copy))))
 
     purchases = (
         table(spark, sf_dir, "lineitem")
@@ -109,42 +106,38 @@ def posting_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(_cents("l_extendedprice")).alias("g"),
         )
     )
-    bill = _head(3, "PI", _id("PI-", k), k, F.col("d"), F.col("cp"), F.col("g"), none)
-    payment = F.when(
-        k % 3 != 0,
-        _head(
-            4, "SP", _id("SP-", k), k, F.col("d") + _days(k % 60), F.col("cp"), F.col("g"),
-            F.when(k % 103 == 0, _id("SI-", k)).otherwise(_id("PI-", k)),
-        ),
+    paid = post == 1
+    purchase_heads = _heads(
+        _copies(purchases, 1, (post == 0) | (k % 3 != 0)),
+        fam=post + 3,
+        kind=F.when(paid, "SP").otherwise("PI"),
+        pid=F.when(paid, _id("SP-", k)).otherwise(_id("PI-", k)),
+        date=F.when(paid, F.col("d") + _days(k % 60)).otherwise(F.col("d")),
+        party=F.col("cp"),
+        gross=F.col("g"),
+        ref=F.when(paid, F.when(k % 103 == 0, _id("SI-", k)).otherwise(_id("PI-", k))),
     )
-    purchase_heads = purchases.select(F.inline(F.array_compact(F.array(bill, payment))))
-
-    expense_heads = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("k"), _cents("p_retailprice").alias("g")
-    ).select(
-        F.inline(F.array(_head(
-            5, "OE", _id("OE-", k), k, F.lit("1995-01-01").cast("timestamp_ntz") + _days(k % 2400), none, F.col("g"), none,
-        )))
+
+    expense_heads = _heads(
+        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), _cents("p_retailprice").alias("g")),
+        fam=F.lit(5), kind=F.lit("OE"), pid=_id("OE-", k),
+        date=F.lit("1995-01-01").cast("timestamp_ntz") + _days(k % 2400), party=none, gross=F.col("g"), ref=none,
     )
 
-    payroll_heads = (
+    payroll_heads = _heads(
         table(spark, sf_dir, "orders")
         .select(F.last_day(F.to_date("o_orderdate")).alias("d"))
         .distinct()
-        .withColumn("k", (F.year("d") * 12 + F.month("d")).cast("bigint"))
-        .select(
-            F.inline(F.array(_head(
-                6, "PR", F.concat(F.lit("PR-"), F.date_format("d", "yyyyMM")), k, F.col("d"), none, F.lit(2500000), none,
-            )))
-        )
+        .withColumn("k", (F.year("d") * 12 + F.month("d")).cast("bigint")),
+        fam=F.lit(6), kind=F.lit("PR"), pid=F.concat(F.lit("PR-"), F.date_format("d", "yyyyMM")),
+        date=F.col("d"), party=none, gross=F.lit(2500000), ref=none,
     )
 
-    adjustment_heads = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select(
-        F.inline(F.array(_head(
-            7, "AJ", _id("AJ-", k), k,
-            F.when(k % 40 != 7, F.lit("1995-06-01").cast("timestamp_ntz") + _days(k % 2000)),
-            none, 10000 + (k * 37) % 90000, none,
-        )))
+    adjustment_heads = _heads(
+        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")),
+        fam=F.lit(7), kind=F.lit("AJ"), pid=_id("AJ-", k),
+        date=F.when(k % 40 != 7, F.lit("1995-06-01").cast("timestamp_ntz") + _days(k % 2000)),
+        party=none, gross=10000 + (k * 37) % 90000, ref=none,
     )
 
     heads = sales_heads
@@ -153,78 +146,55 @@ def posting_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads
 
 
-def _line(no: Column | str, debit: Column | int, credit: Column | int, name: Column | None = None) -> Column:
-    number = F.lit(no) if isinstance(no, str) else no
-    label = F.lit(ACCOUNT_NAMES[no]) if isinstance(no, str) and name is None else name
-
-    def cents(x: Column | int) -> Column:
-        return (F.lit(x) if isinstance(x, int) else x).cast("bigint")
-
-    return F.struct(
-        number.cast("string").alias("AccountNo"),
-        label.cast("string").alias("AccountName"),
-        cents(debit).alias("dr"),
-        cents(credit).alias("cr"),
-    )
-
-
-def _either(cond: Column, a: str, b: str) -> Column:
-    return F.when(cond, F.lit(a)).otherwise(F.lit(b))
-
+def _account_names(spark: SparkSession) -> DataFrame:
+    unlisted = tuple((str(9000 + i), name) for i, name in enumerate(UNLISTED_ACCOUNTS))
+    rows = (*ACCOUNT_NAMES.items(), *unlisted, SUSPENSE_ACCOUNT)
+    return dims.inline_table(spark, rows, "AccountNo string, AccountName string")
 
-def _name_of(no: Column, numbers: tuple[str, ...]) -> Column:
-    expr = F.when(no == numbers[0], F.lit(ACCOUNT_NAMES[numbers[0]]))
-    for n in numbers[1:]:
-        expr = expr.when(no == n, F.lit(ACCOUNT_NAMES[n]))
-    return expr
 
-
-def _lines_of_head() -> Column:
-    k, g, kind = F.col("k"), F.col("gross"), F.col("kind")
+def _line_of_head() -> tuple[Column, Column, Column, Column]:
+    """(exists, account number, debit cents, credit cents) of line ``pos`` of a head."""
+    k, g, kind, pos = F.col("k"), F.col("gross"), F.col("kind"), F.col("pos")
     vat = F.expr("(gross * 19) div 119")
-    net = g - vat
-    revenue = net - F.when(k % 97 == 0, 500).otherwise(0)
-    receipt_to = _either(k % 5 == 1, "1000", "1100")
-    payment_from = _either(k % 11 == 0, "1000", "1100")
-    expense_from = _either(k % 4 == 0, "1000", "1100")
+    revenue = g - vat - F.when(k % 97 == 0, 500).otherwise(0)
+    salaries = F.expr("(gross * 4) div 5")
+    copied = (kind == "AJ") & (k % 30 == 17)
+    both = F.when(k % 45 == 13, 500).otherwise(0)
+    zero = F.lit(0).cast("bigint")
+    sold, paid = kind.isin("SI", "CS"), kind.isin("CR", "SP")
+
+    exists = (pos < 2) | kind.isin("SI", "CS", "PI", "PR") | copied
     expense_no = F.when(k % 400 == 0, F.lit("4950")).otherwise(
         F.element_at(F.array(*[F.lit(a) for a in EXPENSE_ACCOUNTS]), (k % 8 + 1).cast("int"))
     )
-    salaries = F.expr("(gross * 4) div 5")
-    unlisted_no = (9000 + k % 24).cast("string")
-    unlisted_name = F.element_at(F.array(*[F.lit(n) for n in UNLISTED_ACCOUNTS]), (k % 24 + 1).cast("int"))
-    copied = k % 30 == 17
-    both = F.when(k % 45 == 13, 500).otherwise(0)
-    blank = k % 60 == 11
-    adjustment = _line(unlisted_no, g + both, both, unlisted_name)
-
-    return (
-        F.when(kind == "SI", F.array(_line("1400", g, 0), _line("8400", 0, revenue), _line("1776", 0, vat)))
-        .when(kind == "CS", F.array(_line("1000", g, 0), _line("8400", 0, revenue), _line("1776", 0, vat)))
-        .when(kind == "CR", F.array(_line(receipt_to, g, 0, _name_of(receipt_to, ("1000", "1100"))), _line("1400", 0, g)))
-        .when(kind == "PI", F.array(_line("3400", net, 0), _line("1576", vat, 0), _line("1600", 0, g)))
-        .when(kind == "SP", F.array(_line("1600", g, 0), _line(payment_from, 0, g, _name_of(payment_from, ("1000", "1100")))))
-        .when(
-            kind == "OE",
-            F.array(
-                _line(expense_no, g, 0, _name_of(expense_no, (*EXPENSE_ACCOUNTS, "4950"))),
-                _line(expense_from, 0, g, _name_of(expense_from, ("1000", "1100"))),
-            ),
-        )
-        .when(kind == "PR", F.array(_line("4120", salaries, 0), _line("4130", g - salaries, 0), _line("1200", 0, g)))
-        .otherwise(
-            F.array_compact(
-                F.array(
-                    adjustment,
-                    _line(
-                        F.when(~blank, F.lit(SUSPENSE_ACCOUNT[0])), 0, g * F.when(copied, 2).otherwise(1),
-                        F.when(~blank, F.lit(SUSPENSE_ACCOUNT[1])),
-                    ),
-                    F.when(copied, adjustment),
-                )
-            )
-        )
+    first = (
+        F.when(kind == "SI", "1400").when(kind == "CS", "1000").when(kind == "CR", F.when(k % 5 == 1, "1000").otherwise("1100"))
+        .when(kind == "PI", "3400").when(kind == "SP", "1600").when(kind == "OE", expense_no).when(kind == "PR", "4120")
+        .otherwise((9000 + k % 24).cast("string"))
+    )
+    second = (
+        F.when(sold, "8400").when(kind == "CR", "1400").when(kind == "PI", "1576")
+        .when(kind == "SP", F.when(k % 11 == 0, "1000").otherwise("1100"))
+        .when(kind == "OE", F.when(k % 4 == 0, "1000").otherwise("1100"))
+        .when(kind == "PR", "4130").when(k % 60 != 11, SUSPENSE_ACCOUNT[0])
+    )
+    third = F.when(sold, "1776").when(kind == "PI", "1600").when(kind == "PR", "1200").otherwise((9000 + k % 24).cast("string"))
+    debit = (
+        F.when((pos == 0) | copied & (pos == 2), F.when(kind == "PI", g - vat).when(kind == "PR", salaries)
+               .when(kind == "AJ", g + both).otherwise(g))
+        .when((pos == 1) & (kind == "PI"), vat)
+        .when((pos == 1) & (kind == "PR"), g - salaries)
+        .otherwise(zero)
+    )
+    credit = (
+        F.when(pos == 1, F.when(sold, revenue).when(paid | (kind == "OE"), g).when(copied, g * 2).when(kind == "AJ", g).otherwise(zero))
+        .when((pos == 2) & sold, vat)
+        .when((pos == 2) & kind.isin("PI", "PR"), g)
+        .when(kind == "AJ", both)
+        .otherwise(zero)
     )
+    number = F.when(pos == 0, first).when(pos == 1, second).otherwise(third)
+    return exists, number, debit, credit
 
 
 def _money(c: str) -> Column:
@@ -235,25 +205,27 @@ def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical journal lines, one row per debit or credit."""
     k = F.col("k")
     date = F.col("PostingDate")
-    head = (
+    exists, number, debit, credit = _line_of_head()
+    lines = (
         posting_heads(spark, sf_dir)
-        .withColumn("lines", _lines_of_head())
         .select(
-            "fam", "k", "PostingID", "PostingDate", "Counterparty", "RefPostingID",
+            "fam", "kind", "gross", "k", "PostingID", "PostingDate", "Counterparty", "RefPostingID",
             F.when(k % 50 != 49, F.when(k % 89 == 0, date + _days(F.lit(3))).otherwise(date - _days(k % 6))).alias("DocumentDate"),
             (
                 date + _days((k * 7) % F.when(k % 13 == 0, 45).otherwise(9))
                 + F.make_dt_interval(F.lit(0), (6 + k % 15).cast("int"))
             ).alias("EnteredDateTime"),
             F.when(k % 113 != 0, F.concat(F.lit("U"), (k % 7).cast("string"))).alias("UserID"),
-            F.posexplode("lines").alias("pos", "line"),
+            F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pos"),
         )
+        .filter(exists)
+        .withColumns({"AccountNo": number, "dr": debit, "cr": credit})
+        .join(_account_names(spark), "AccountNo", "left")
     )
-    return head.select(
+    return lines.select(
         ((k * 8 + F.col("fam")) * 4 + F.col("pos")).alias("LineNo"),
-        "PostingID", "PostingDate", "DocumentDate", "EnteredDateTime",
-        F.col("line.AccountNo").alias("AccountNo"), F.col("line.AccountName").alias("AccountName"),
-        _money("line.dr").alias("Debit"), _money("line.cr").alias("Credit"),
+        "PostingID", "PostingDate", "DocumentDate", "EnteredDateTime", "AccountNo", "AccountName",
+        _money("dr").alias("Debit"), _money("cr").alias("Credit"),
         "UserID", "Counterparty", "RefPostingID",
         F.lit(None).cast("string").alias("LineText"),
     )

@@ -70,7 +70,7 @@ def row_test_flags(postings: DataFrame, cfg: LedgerSettings = LedgerSettings(),
         for name, cond, detail in _row_tests(cfg)
         if only in (None, name)
     ]
-    return postings.select(*HEAD, F.inline(F.array_compact(F.array(*hits)))).select(*FLAG_COLUMNS)
+    return postings.select(*HEAD, F.inline(F.array(*hits))).filter(F.col("Test").isNotNull()).select(*FLAG_COLUMNS)
 
 
 def duplicate_flags(postings: DataFrame) -> DataFrame:
