@@ -9,6 +9,10 @@ from ledgerleaf.functions.columns import MONEY_POSTING, contains_any, floor_days
 from ledgerleaf.settings import LedgerSettings
 
 HEADER_FIELDS = ("PostingDate", "DocumentDate", "EnteredDateTime", "UserID", "Counterparty", "RefPostingID")
+FEATURES = (
+    "DrAP", "CrAP", "DrAR", "CrAR", "DrLiquid", "CrLiquid", "CrRevenue", "DrExpense", "Personnel", "LiquidAmount", "TouchesCash",
+    "CashAmount",
+)
 CASH_WORDS = ("cash", "petty")
 # Lag bands with their upper bounds in days (the last one is open up to 100000).
 LAG_BANDS = (("0-3 days", 3), ("4-7 days", 7), ("8-14 days", 14), ("15-30 days", 30), ("31+ days", 100000))
