@@ -229,3 +229,74 @@ def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "UserID", "Counterparty", "RefPostingID",
         F.lit(None).cast("string").alias("LineText"),
     )
+
+
+# Years of the derived activity data: 2001 is partial, so 2000 is reported.
+CARBON_YEARS = dict(base_year=1995, reporting_year=2000, target_year=2005)
+
+
+def activity_rows(spark: SparkSession, sf_dir: str, supplied: bool = False) -> DataFrame:
+    """Raw activity per (month, site, library row); ``supplied`` gives every fifth library row an own factor."""
+    lib = dims.factors(spark).select("lib_no", "Scope", "CategoryID", "ActivityType", "Factor", "FactorUnit")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    activity = F.col("ActivityType")
+    name = (
+        F.when(F.col("lib_no") == 49, "Unlisted activity")
+        .when(F.col("lib_no") % 7 == 3, F.concat(activity.substr(1, 12), F.lit(" (site)")))
+        .otherwise(activity)
+    )
+    month = F.trunc(F.to_date("l_shipdate"), "month")
+    # Summed per supplier first: the site is only looked up for the sums.
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(month.alias("Month"), "l_suppkey", (F.col("l_partkey") % 50).cast("int").alias("lib_no"))
+        .agg(F.sum("l_quantity").alias("q"))
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+        .groupBy("Month", "n_name", "lib_no")
+        .agg(F.sum("q").cast("bigint").alias("Quantity"))
+        .join(lib, "lib_no")
+        .select(
+            F.date_format("Month", "yyyy-MM-dd").alias("Date"),
+            F.col("n_name").alias("Site"),
+            "lib_no",
+            "Scope",
+            F.when(F.col("Scope") == "Scope 3", F.col("CategoryID")).alias("Category"),
+            name.alias("Activity"),
+            F.col("Quantity").cast("string").alias("Quantity"),
+            F.substring_index("FactorUnit", "/", -1).alias("Unit"),
+            (F.when(F.col("lib_no") % 5 == 0, F.col("Factor") * 2) if supplied else F.lit(None)).cast("string").alias("Factor"),
+        )
+    )
+
+
+def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emission facts as untidy text, in two files: one without any emissions, one with some."""
+    n = F.col("lib_no")
+    second = F.col("Date").substr(7, 1).isin("1", "3", "5", "7", "9")
+    lib = dims.factors(spark).select("lib_no", F.col("CategoryID").alias("cat"), "FactorID", F.col("Factor").alias("f"), F.col("Method").alias("m"))
+    score = (
+        F.when(n % 7 == 0, "").when(n % 7 == 1, "7").when(n % 7 == 2, "2.6").when(n % 7 == 3, "0").when(n % 7 == 4, "abc").when(n % 7 == 5, "4")
+    )
+    return (
+        activity_rows(spark, sf_dir)
+        .join(lib, "lib_no")
+        .select(
+            F.when(second, "fact-b").otherwise("fact-a").alias("SourceFile"),
+            F.when(n % 13 == 5, "bad").otherwise(F.col("Date")).alias("Date"),
+            F.col("Site").alias("SiteID"),
+            F.when(n % 3 == 0, F.upper("Scope")).when(n % 3 == 1, F.concat(F.lit(" scope"), F.substring_index("Scope", " ", -1)))
+            .otherwise(F.col("Scope")).alias("Scope"),
+            F.when(F.col("cat").isin("1", "2"), F.concat("cat", F.lit(".0"))).otherwise(F.concat(F.lit(" "), "cat")).alias("CategoryID"),
+            F.col("Activity").alias("ActivityType"),
+            F.when(n % 10 == 9, "n/a").otherwise(F.col("Quantity")).alias("Quantity"),
+            "Unit",
+            "FactorID",
+            F.when(n % 11 != 0, F.col("f").cast("string")).alias("EmissionFactor"),
+            F.when(n % 17 == 5, (F.col("f") * 3).cast("string")).alias("EmissionFactorMarket"),
+            F.when(n % 6 != 0, F.col("m")).alias("Method"),
+            score.alias("DataQualityScore"),
+            F.when(second & (n % 3 == 0), F.concat("Quantity", F.lit(".5"))).alias("tCO2e_Location"),
+        )
+    )

@@ -76,7 +76,11 @@ def year_month(c: Column) -> Column:
 
 
 def weekday_name(c: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.weekday(F.to_date(c)) + 1)
+    number = F.weekday(F.to_date(c))
+    name = F.when(number == 0, WEEKDAYS[0])
+    for i, day in enumerate(WEEKDAYS[1:], 1):
+        name = name.when(number == i, day)
+    return name
 
 
 def contains_any(c: Column, words: tuple[str, ...]) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.operators.carbon.targets import target_vs_actual
+from ledgerleaf.plans import carbon_reports as inventory
 from ledgerleaf.plans import ledger_reports as reports
 from ledgerleaf.plans.ledger_book import LedgerBook
+from ledgerleaf.settings import CarbonSettings
 
 
 def write_mart(df: DataFrame, run_dir: str, name: str, by: str | None = None) -> None:
@@ -53,3 +56,21 @@ def write_flag_extract(flags: DataFrame, path: str, tests: tuple[str, ...] | Non
 FLAG_EXTRACT_SCHEMA = (
     "PostingID string, PostingDate timestamp_ntz, PostingType string, UserID string, PostingAmount decimal(18,2), Test string, Detail string"
 )
+
+
+def write_inventory_marts(
+    facts: DataFrame, sliced: DataFrame, factors: DataFrame, drivers: DataFrame, cfg: CarbonSettings, run_dir: str
+) -> list[str]:
+    """By scope, category and site, targets, the factors used and the findings."""
+    marts = {
+        "by_scope": inventory.scope_year(sliced, cfg),
+        "by_category": inventory.summary_by_category(sliced, cfg),
+        "by_site": inventory.summary_by_site(sliced, cfg),
+        "targets": target_vs_actual(facts, sliced, cfg),
+        "factors_used": factors,
+        "findings": inventory.findings(facts, sliced, drivers, cfg),
+    }
+    for name, df in marts.items():
+        # Parquet columns may hold any name, but not blanks in older readers.
+        write_mart(df.toDF(*[c.replace(" ", "") for c in df.columns]), run_dir, name)
+    return list(marts)
