@@ -25,9 +25,9 @@ act AS (SELECT date_trunc('month', l_shipdate) AS d, n_name AS site, n_nationkey
 rows AS (SELECT CAST(d AS TIMESTAMP) AS d, site, nk, a.no, q, scope, CASE WHEN scope = 'Scope 3' THEN cat END AS cat, unit,
   CASE WHEN a.no = 49 THEN 'Unlisted activity' WHEN a.no % 7 = 3 THEN substr(act, 1, 12) || ' (site)' ELSE act END AS activity
   FROM act a JOIN lib l ON a.no = l.no),
-names AS (SELECT DISTINCT activity FROM rows),
+actnames AS (SELECT DISTINCT activity FROM rows),
 hits AS (SELECT activity, min(CASE WHEN lower(act) = lower(activity) THEN no END) AS ex,
-  min(CASE WHEN contains(lower(act), substr(lower(activity), 1, 12)) THEN no END) AS pre FROM names CROSS JOIN lib GROUP BY 1),
+  min(CASE WHEN contains(lower(act), substr(lower(activity), 1, 12)) THEN no END) AS pre FROM actnames CROSS JOIN lib GROUP BY 1),
 resolved AS (SELECT r.*, coalesce(ex, pre) AS hit, CASE WHEN ex IS NOT NULL THEN 'exact' WHEN pre IS NOT NULL THEN 'prefix' END AS how
   FROM rows r JOIN hits h ON r.activity = h.activity)"""
 )
