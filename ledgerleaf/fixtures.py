@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,8 +203,9 @@ def _money(c: str) -> Column:
     return (F.col(c) * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,4)")
 
 
+@lru_cache(maxsize=8)
 def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical journal lines, one row per debit or credit."""
+    """Canonical journal lines, one row per debit or credit. Only the lazy plan is kept between calls, no data."""
     k = F.col("k")
     date = F.col("PostingDate")
     exists, number, debit, credit = _line_of_head()
@@ -235,6 +238,7 @@ def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 CARBON_YEARS = dict(base_year=1995, reporting_year=2000, target_year=2005)
 
 
+@lru_cache(maxsize=8)
 def activity_rows(spark: SparkSession, sf_dir: str, supplied: bool = False) -> DataFrame:
     """Raw activity per (month, site, library row); ``supplied`` gives every fifth library row an own factor."""
     lib = dims.factors(spark).select("lib_no", "Scope", "CategoryID", "ActivityType", "Factor", "FactorUnit")

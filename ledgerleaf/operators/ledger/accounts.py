@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions.columns import contains_any, or_false
+from ledgerleaf.functions.columns import or_false
 from ledgerleaf.settings import LedgerSettings
 
 # Ordered keyword rules (keywords, class, group); the first rule that matches wins.
@@ -46,20 +46,18 @@ def account_totals(lines: DataFrame, cfg: LedgerSettings = LedgerSettings()) ->
     )
 
 
-def guess_class(name: Column) -> Column:
-    """Struct(AccountClass, AccountGroup) guessed from an account name."""
+def clean_name(name: Column) -> Column:
     text = F.lower(F.coalesce(name, F.lit("")))
-    text = F.regexp_replace(F.regexp_replace(text, BRACKETED, " "), TAX_SUFFIX, " ")
+    return F.regexp_replace(F.regexp_replace(text, BRACKETED, " "), TAX_SUFFIX, " ")
 
-    def pair(cls: Column | str, group: str) -> Column:
-        return F.struct((F.lit(cls) if isinstance(cls, str) else cls).alias("AccountClass"), F.lit(group).alias("AccountGroup"))
 
-    choice = None
-    for words, cls, group in KEYWORD_RULES:
-        cls_col = F.when(contains_any(text, VAT_ASSET_WORDS), F.lit("Asset")).otherwise(cls) if group == VAT_GROUP else cls
-        hit = contains_any(text, words)
-        choice = F.when(hit, pair(cls_col, group)) if choice is None else choice.when(hit, pair(cls_col, group))
-    return choice.otherwise(pair(*DEFAULT_CLASS))
+def rule_number(text: Column) -> Column:
+    """1-based number of the first keyword rule that matches a clean name; one more than the rules if none does."""
+    number = None
+    for i, (words, _, _) in enumerate(KEYWORD_RULES, 1):
+        hit = text.rlike("|".join(words))
+        number = F.when(hit, i) if number is None else number.when(hit, i)
+    return number.otherwise(len(KEYWORD_RULES) + 1)
 
 
 def with_chart(totals: DataFrame, chart: DataFrame | None) -> DataFrame:
@@ -92,17 +90,23 @@ def chart_duplicates(chart: DataFrame) -> DataFrame:
 
 
 def fill_guesses(accounts: DataFrame) -> DataFrame:
-    guess = guess_class(F.col("AccountName"))
+    """Class and group by keyword for the accounts that have no class yet."""
+    classes = F.array(*[F.lit(c) for _, c, _ in KEYWORD_RULES], F.lit(DEFAULT_CLASS[0]))
+    groups = F.array(*[F.lit(g) for _, _, g in KEYWORD_RULES], F.lit(DEFAULT_CLASS[1]))
     missing = F.col("AccountClass").isNull()
+    group = F.element_at(groups, F.col("_rule"))
+    vat_asset = (group == VAT_GROUP) & F.col("_text").rlike("|".join(VAT_ASSET_WORDS))
+    guess = F.when(vat_asset, "Asset").otherwise(F.element_at(classes, F.col("_rule")))
     return (
-        accounts.withColumn("_g", F.when(missing, guess))
+        accounts.withColumn("_text", clean_name(F.col("AccountName")))
+        .withColumn("_rule", rule_number(F.col("_text")))
         .withColumns(
             {
-                "AccountGroup": F.when(missing, F.col("_g.AccountGroup")).otherwise(F.col("AccountGroup")),
-                "AccountClass": F.coalesce("AccountClass", F.col("_g.AccountClass")),
+                "AccountGroup": F.when(missing, group).otherwise(F.col("AccountGroup")),
+                "AccountClass": F.coalesce(F.col("AccountClass"), guess),
             }
         )
-        .drop("_g")
+        .drop("_text", "_rule")
     )
 
 

@@ -110,14 +110,18 @@ def match_fifo(postings: DataFrame, cfg: LedgerSettings = LedgerSettings()) -> D
         )
     )
     ahead = F.greatest("ahead0", F.col("pays0") - F.col("bills0") + F.col("ahead"))
-    wanted = scanned.filter("is_pay = 0").select(
-        *keys, F.col("id").alias("PostingID"), (F.col("bills0") + F.col("bills") - 1 + ahead).alias("k")
-    )
-    offered = scanned.filter("is_pay = 1").select(
-        *keys, (F.col("pays0") + F.col("pays") - 1).alias("k"), F.col("id").alias("PaymentID"), F.col("ts").alias("PaymentDate"),
-        "TouchesCash",
+    is_pay = F.col("is_pay") == 1
+    number = F.when(is_pay, F.col("pays0") + F.col("pays") - 1).otherwise(F.col("bills0") + F.col("bills") - 1 + ahead)
+    # Invoice i and payment k meet on (keys, number): at most one of each, so this grouping cannot be skewed.
+    matches = (
+        scanned.groupBy(*keys, number.alias("number"))
+        .agg(
+            F.max(F.when(~is_pay, F.col("id"))).alias("PostingID"),
+            F.max(F.when(is_pay, F.struct(F.col("id").alias("PaymentID"), F.col("ts").alias("PaymentDate"), "TouchesCash"))).alias("p"),
+        )
+        .filter(F.col("PostingID").isNotNull() & F.col("p").isNotNull())
+        .select("PostingID", "p.PaymentID", "p.PaymentDate", "p.TouchesCash")
     )
-    matches = wanted.join(offered, [*keys, "k"]).select("PostingID", "PaymentID", "PaymentDate", "TouchesCash")
     return invoices.join(matches, "PostingID", "left")
 
 
