@@ -46,6 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table of fewer file splits than cores (one small file); larger tables are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("bigint")
 
@@ -79,7 +85,7 @@ def posting_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, post = F.col("k"), F.col("post")
 
     sales = (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
         .join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("d"), F.col("c_name").alias("cp"),
