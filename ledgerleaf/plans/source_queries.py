@@ -15,7 +15,7 @@ from ledgerleaf.plans.carbon_queries import inventory, sites
 from ledgerleaf.plans.ledger_book import LedgerBook
 from ledgerleaf.settings import LedgerSettings
 from ledgerleaf.sources import bundles, exports
-from ledgerleaf.store import new_path
+from ledgerleaf.store import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,7 +93,7 @@ def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _canonical(spark, sf_dir).filter("SourceFile LIKE 'kind2-%'")
+    kept = materialize(_canonical(spark, sf_dir).filter("SourceFile LIKE 'kind2-%'"), "canonical-lines")
     numbered = canonical.first_appearance_ids(kept)
     return kept.join(numbered, ["SourceFile", "PostingID"]).groupBy("SourceFile", "PostingID", "NumberedID").agg(F.count(F.lit(1)).alias("Lines"))
 
