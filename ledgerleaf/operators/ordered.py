@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 from ledgerleaf.store import materialize
 
 CHUNK = "_chunk"
+ROWS_PER_CHUNK = 1 << 20
+
+
+def chunk_count(df: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK) -> int:
+    """Chunks for the rows of ``df``, at least as many as there are shuffle partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_chunk))
 
 
 def chunk_by_range(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Range-partition on (keys, order) and keep the partition number as ``_chunk``.
 
-    The result is written out because the range borders come from a sample: every reader must see the same borders.
+    The number of chunks follows the number of rows. The input is written first, so that counting it and sampling the
+    borders doesn't compute it again; the result is written because every reader must see the same borders.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
+    df = materialize(df, "rows")
+    ranged = df.repartitionByRange(chunk_count(df), *keys, *order).withColumn(CHUNK, F.spark_partition_id())
     return materialize(ranged, "chunks")
 
 
@@ -41,10 +48,26 @@ def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
+def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Number the rows of each key from 0 in ``order``; rows that tie are numbered in any order.
+
+    Without keys the whole table is numbered. A hot key is spread over chunks like any other rows.
+    """
+    chunked = chunk_by_range(df, keys, order)
+    counts = chunked.groupBy(CHUNK, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each chunk and key in it.
+    carry = materialize(counts.withColumn("_carry", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "carry")
+    within = Window.partitionBy(CHUNK, *keys).orderBy(*order)
+    ranked = chunked.withColumn("_rank", F.row_number().over(within))
+    joined = ranked.join(carry, same_key(ranked, carry, [CHUNK, *keys]), "inner")
+    return joined.select(*[ranked[c] for c in df.columns], (F.col("_rank") - 1 + F.col("_carry")).alias(name))
+
+
 def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """Running sum of ``value`` over the whole table in ``order``; the order must be unique."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunked = materialize(df.repartitionByRange(n, *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
+    df = materialize(df, "rows")
+    chunked = materialize(df.repartitionByRange(chunk_count(df), *order).withColumn(CHUNK, F.spark_partition_id()), "chunks")
     # One row per chunk, so this window is as small as the number of chunks.
     before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -60,10 +83,11 @@ def running_total(df: DataFrame, order: list[Column], value: Column, name: str)
     )
 
 
-def forward_fill(df: DataFrame, source: str, order: str, columns: list[str], rows_per_chunk: int = 1 << 20) -> DataFrame:
+def forward_fill(df: DataFrame, source: str, order: str, columns: list[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Carry the last non-null value of each column down the rows of a source.
 
-    Chunks are blocks of consecutive ``order`` numbers, so one huge source is filled by many tasks.
+    Chunks are blocks of consecutive ``order`` numbers, so one huge source is filled by many tasks. The input is read
+    twice; write it first if computing it is dear.
     """
     chunked = df.withColumn(CHUNK, F.expr(f"{order} div {rows_per_chunk}"))
     within = Window.partitionBy(source, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

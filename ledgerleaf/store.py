@@ -13,18 +13,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
-_fallback: dict[str, str] = {}
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (``local``, ``local[n]``) gets one folder of its own, since its driver
+    and its tasks share the disk. On any other master there is no folder that all executors see, so that is an error.
+    """
     named = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="ledgerleaf-")
-    return _fallback[app]
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError(f"{_CHECKPOINT_CONF} names no shared folder for the intermediate tables of master {context.master}")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="ledgerleaf-")
+    return _own[context.applicationId]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -36,3 +42,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete intermediate tables that ``materialize`` returned; nothing may read them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = shared_folder(spark).removeprefix("file://")
+        jvm = spark.sparkContext._jvm
+        for parent in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if folder not in parent:
+                raise ValueError(f"{parent} is no intermediate table")
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
