@@ -29,7 +29,7 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 
 @dataclass(frozen=True)
 class RiskControl:
-    max_false_rejection: float = 0.02
+    max_false_rejection: float = 0.05
     confidence: float = 0.95
     stratum: str = "lang"
 
