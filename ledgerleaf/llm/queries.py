@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import line_crf, mixing, packing, quality_rules, sharding
+from ledgerleaf.llm import line_crf, lsh_forest, mixing, packing, quality_rules, sharding
 from ledgerleaf.llm.common import documents
 
 
@@ -18,6 +18,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": lambda s, d: quality_rules.digest(documents(s, d), _labels(s, d)),
         "op3_mixing": lambda s, d: mixing.digest(documents(s, d)),
+        "op6_lsh_forest": lambda s, d: lsh_forest.near_duplicates(documents(s, d)),
         "op7_packing": lambda s, d: packing.pack(documents(s, d)),
         "op8_line_crf": lambda s, d: line_crf.digest(documents(s, d), _labels(s, d)),
         "op10_sharding": lambda s, d: sharding.digest(documents(s, d)),
