@@ -15,6 +15,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of a few numbers each that a broadcast may hold: under 100 MB in memory.
+BROADCAST_ROWS = 1 << 20
+
+
+def if_small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most ``most`` rows; else the join shuffles."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import WordHashes, mixed, texts_of, window_hashes
+from ledgerleaf.llm.common import WordHashes, if_small, mixed, texts_of, window_hashes
 from ledgerleaf.llm.components import components
 from ledgerleaf.operators.ordered import rank_within
 from ledgerleaf.store import materialize
@@ -132,10 +132,10 @@ def clusters(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     # Trie nodes with the same texts are one: the same count, least text and combined hash.
     size = size.filter("n > 1").groupBy("n", "pivot", "_set").agg(F.min("bucket").alias("bucket"))
     size = materialize(size.select("bucket", "n", "pivot"), "trie")
-    members = materialize(meets.join(size, "bucket"), "members")
+    members = materialize(meets.join(if_small(size), "bucket"), "members")
     small = members.filter(F.col("n") <= NODE)
-    parts = max(1, -(-small.count() // 4000))
-    told = small.join(nodes.select("key", "sig"), "key").select(F.expr(f"pmod(xxhash64(bucket), {parts})").alias("part"), "bucket", "key", "sig")
+    parts = max(1, -(-small.count() // 1000))
+    told = nodes.select("key", "sig").join(if_small(small), "key").select(F.expr(f"pmod(xxhash64(bucket), {parts})").alias("part"), "bucket", "key", "sig")
     compared = told.groupBy("part").applyInArrow(_near_edges, "u binary, v binary")
     stars = members.filter((F.col("n") > NODE) & (F.col("key") != F.col("pivot"))).select(F.col("pivot").alias("u"), F.col("key").alias("v"))
     return components(compared.unionByName(stars))
@@ -229,10 +229,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, cluster: DataFrame) -> DataFram
     ranked = materialize(ranked, "ranked")
     blocks = ranked.groupBy("root").agg((F.max("block") + 1).alias("_blocks"))
     paired = ranked.join(blocks, "root").withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
-    paired = paired.select("root", "key", "copies", "first_id", "block", F.least("block", "_other").alias("a"), F.greatest("block", "_other").alias("b"))
+    paired = materialize(paired.select("root", "key", "copies", "first_id", "block", F.least("block", "_other").alias("a"), F.greatest("block", "_other").alias("b")), "pairs")
     texts = _keyed_texts(docs, ranked)
-    parts = max(1, -(-paired.count() // 4000))
-    sent = paired.join(texts, paired["key"] == texts["_key"]).select(
+    parts = max(1, -(-paired.count() // 1000))
+    sent = if_small(paired).join(texts, paired["key"] == texts["_key"]).select(
         F.expr(f"pmod(xxhash64(root, a, b), {parts})").alias("part"), "root", "a", "b", "block", "key", "copies", "text"
     )
     return sent.groupBy("part").applyInArrow(_block_links, "u binary, v binary, links long")
@@ -240,7 +240,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, cluster: DataFrame) -> DataFram
 
 def _keyed_texts(docs: DataFrame, ranked: DataFrame) -> DataFrame:
     """(_key, text): one text for each set of runs in ``ranked``."""
-    wanted = ranked.select(F.col("first_id").alias("_first"), F.col("key").alias("_key"))
+    wanted = if_small(ranked.select(F.col("first_id").alias("_first"), F.col("key").alias("_key")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_first"))).select("_key", "text")
 
