@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import line_crf, lsh_forest, mixing, packing, phrase_automata, prefix_doubling, quality_rules, sharding
+from ledgerleaf.llm import line_crf, log_bilinear, lsh_forest, mixing, packing, phrase_automata, prefix_doubling, quality_rules, sharding
 from ledgerleaf.llm.common import documents
 
 
@@ -17,6 +17,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": lambda s, d: quality_rules.digest(documents(s, d), _labels(s, d)),
+        "op2_log_bilinear": lambda s, d: log_bilinear.score(documents(s, d)),
         "op3_mixing": lambda s, d: mixing.digest(documents(s, d)),
         "op4_phrase_automata": lambda s, d: phrase_automata.digest(documents(s, d)),
         "op5_prefix_doubling": lambda s, d: prefix_doubling.digest(documents(s, d)),
