@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import line_crf, log_bilinear, lsh_forest, mixing, packing, phrase_automata, prefix_doubling, quality_rules, sharding
+from ledgerleaf.llm import line_crf, log_bilinear, lsh_forest, mixing, packing, phrase_automata, prefix_doubling, prefix_forest, quality_rules, sharding
 from ledgerleaf.llm.common import documents
 
 
@@ -24,6 +24,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_lsh_forest": lambda s, d: lsh_forest.near_duplicates(documents(s, d)),
         "op7_packing": lambda s, d: packing.pack(documents(s, d)),
         "op8_line_crf": lambda s, d: line_crf.digest(documents(s, d), _labels(s, d)),
+        "op9_prefix_forest": lambda s, d: prefix_forest.search(s.read.parquet(f"{d}/embeddings.parquet")),
         "op10_sharding": lambda s, d: sharding.digest(documents(s, d)),
     }
 
