@@ -251,3 +251,17 @@ def _keyed_texts(docs: DataFrame, ranked: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(same, pa.bool_()))
 
     return joined.mapInArrow(right, "_key binary, text string").dropDuplicates(["_key"])
+
+
+def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """The documents that stay if of each class of near-duplicates only the one with the least doc_id does.
+
+    Rows that share an id count as one document, of which one row stays; documents without an id stay.
+    """
+    classes = near_duplicates(docs, recall).filter("doc_id is not null")
+    stays = materialize(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("class_id").alias("class_id")).filter("doc_id = class_id"), "stays")
+    single, several = (stays.filter(x).select(F.col("doc_id").alias("_stays")) for x in ("rows = 1", "rows > 1"))
+    same = F.col("doc_id").cast("long") == F.col("_stays")
+    kept = docs.join(if_small(single), same, "left_semi")
+    repeated = docs.join(if_small(several), same, "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(repeated).unionByName(docs.filter("doc_id is null"))

@@ -8,7 +8,7 @@ larger one takes, nothing is sorted, and reruns agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm.common import unit_hash, word_count
@@ -40,16 +40,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+def _shares(small: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
+    """For each source its target, how often all its documents are taken, and the threshold of those taken once more.
 
-    A source whose target is several times its size gives every document as often as that fits, and once more those
-    below the threshold of what remains. The threshold ends where the sum is nearest to the target.
-    Defined cases: a null text has size 0; null is a source of its own and comes last; documents with the same doc_id
-    share one fate; documents without words are taken like others of their hash and count 0; an empty table gives no rows.
+    ``small`` has source, size and hash (``_h``) of every document, and is a written table.
     """
-    small = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unit_hash(seed, F.col("doc_id")).alias("_h"))
-    small = materialize(small, "sizes")
     targets = source_targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     full = F.least(full, F.lit(max_repeats)).cast("long")
@@ -57,12 +52,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     state = materialize(state.withColumns({"_prefix": F.lit(0).cast("long"), "_below": F.lit(0).cast("long"), "_group": F.lit(0).cast("long")}), "state")
     for level in range(LEVELS):
         state = materialize(_refined(small, state, level), "state")
-    state = state.withColumn("_with", F.col("_below") + F.col("_group") - F.col("_budget") < F.col("_budget") - F.col("_below"))
-    joined = small.alias("d").join(state.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    return state.withColumn("_with", F.col("_below") + F.col("_group") - F.col("_budget") < F.col("_budget") - F.col("_below"))
+
+
+def _sizes(docs: DataFrame, seed: str) -> DataFrame:
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), unit_hash(seed, F.col("doc_id")).alias("_h"))
+    return materialize(rows, "sizes")
+
+
+def _copies() -> Column:
     once_more = (F.col("_h") < F.col("_prefix")) | ((F.col("_h") == F.col("_prefix")) & F.col("_with"))
-    copies = F.col("_full") + F.coalesce(once_more, F.lit(False)).cast("long")
-    out = joined.withColumn("copies", copies)
-    return out.select("doc_id", "d.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return F.col("_full") + F.coalesce(once_more, F.lit(False)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, copies, taken (= copies * size).
+
+    A source whose target is several times its size gives every document as often as that fits, and once more those
+    below the threshold of what remains. The threshold ends where the sum is nearest to the target.
+    Defined cases: a null text has size 0; null is a source of its own and comes last; documents with the same doc_id
+    share one fate; documents without words are taken like others of their hash and count 0; an empty table gives no rows.
+    """
+    small = _sizes(docs, seed)
+    state = _shares(small, weights, max_repeats).alias("s")
+    joined = small.alias("d").join(state, F.col("d.source").eqNullSafe(F.col("s.source"))).withColumn("copies", _copies())
+    return joined.select("doc_id", "d.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
+    """The mixture itself: each document as often as ``mix`` takes it, with all its columns."""
+    state = _shares(_sizes(docs, seed), weights, max_repeats).withColumnRenamed("source", "_source")
+    state = state.select("_source", "_full", "_prefix", "_with")
+    rows = docs.withColumn("_h", unit_hash(seed, F.col("doc_id"))).join(state, F.col("source").eqNullSafe(F.col("_source")))
+    return rows.filter(_copies() > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), _copies()))).select(*docs.columns)
 
 
 def _refined(small: DataFrame, state: DataFrame, level: int) -> DataFrame:
