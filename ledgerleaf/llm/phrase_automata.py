@@ -23,7 +23,7 @@ from ledgerleaf.llm.common import WordHashes, texts_of
 from ledgerleaf.store import materialize
 
 WINDOW = 50
-RUNS = repeats.Runs(length=WINDOW, core=8, units=600_000, words=True, same_text=False)
+RUNS = repeats.Runs(length=WINDOW, core=8, units=300_000, words=True, same_text=False)
 #: The words of a phrase that its automaton looks for.
 _MIDDLE = slice((RUNS.phrase - RUNS.core) // 2, (RUNS.phrase - RUNS.core) // 2 + RUNS.core)
 

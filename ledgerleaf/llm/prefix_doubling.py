@@ -22,7 +22,7 @@ from ledgerleaf.store import materialize
 
 LENGTH = 400
 FIRST = 8
-RUNS = repeats.Runs(length=LENGTH, core=48, units=3_000_000, words=False, same_text=True)
+RUNS = repeats.Runs(length=LENGTH, core=48, units=1_000_000, words=False, same_text=True)
 
 
 def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
