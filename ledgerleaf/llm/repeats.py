@@ -232,8 +232,7 @@ def settle(found: DataFrame, runs: Runs, repeated: Callable[[np.ndarray, np.ndar
         runs_ = runs_[np.lexsort((runs_["doc"], runs_["h2"], runs_["h1"]))]
         new = np.concatenate(([True], (runs_["h1"][1:] != runs_["h1"][:-1]) | (runs_["h2"][1:] != runs_["h2"][:-1])))
         hit = runs_[repeated(runs_, new)]
-        hit = hit[np.lexsort((hit["start"], hit["key"].astype("S16")))] if len(hit) else hit
-        return pa.table({"key": pa.array([bytes(k) for k in hit["key"]], pa.binary()), "start": pa.array(hit["start"]), "end": pa.array(hit["start"] + runs.length)})
+        return pa.table({"key": pa.array([k.tobytes() for k in hit["key"]], pa.binary()), "start": pa.array(hit["start"]), "end": pa.array(hit["start"] + runs.length)})
 
     more = found.filter("open is not null").groupBy("shard", "slice").applyInArrow(compared, "key binary, start long, end long")
     spans = found.filter("open is null").select("key", "start", "end").unionByName(more)
