@@ -92,9 +92,14 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # A bounded number of short tokens.
-    head = counts.filter("length(token) <= 64").orderBy(F.desc("n"), "token").limit(HEAD).toPandas()
-    words = [bytes(w) for w in head["token"]]
+    # Counts by steps of an eighth of a power of two show from which step on there are at most HEAD short tokens.
+    short = counts.filter("length(token) <= 64").withColumn("step", F.floor(F.log2("n") * 8))
+    upto = short.groupBy("step").count().toPandas().sort_values("step", ascending=False)
+    steps = upto["step"][upto["count"].cumsum() <= HEAD]
+    head = short.filter(F.col("step") >= int(steps.min()) if len(steps) else F.lit(False)).toPandas()
+    head["token"] = [bytes(w) for w in head["token"]]
+    head = head.sort_values(["n", "token"], ascending=[False, True], ignore_index=True)
+    words = list(head["token"])
     state = np.where(np.arange(len(words)) < SHORTLIST, np.arange(len(words)), head["class"].to_numpy(np.int64) + SHORTLIST)
     count = head["n"].to_numpy(np.int64)
     sums = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas().set_index("class")
