@@ -55,7 +55,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word's bytes. Keeps the words seen, and forgets all of them when there are too many."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

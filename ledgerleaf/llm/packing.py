@@ -7,6 +7,7 @@ one for one or two for one between bins that aren't full, whenever that raises t
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,14 +20,15 @@ from ledgerleaf.store import materialize
 
 CAPACITY = 2048
 #: Pieces that one task packs; a block leaves a bin or two that aren't full.
-BLOCK = 1 << 17
-#: Bins that the search of a block starts from at most ``SEARCHED`` at a time, least filled first.
+BLOCK = 1 << 16
+#: The bins, least filled first, that the search of a block tries to empty.
 SEARCHED = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
+@functools.lru_cache(maxsize=1)  # one for each Python worker
 def encoder(name: str = "byte_bpe_50k"):
     """Ids of a text, as ``tokenizers`` gives them for ``name``.json with special tokens as ordinary text.
 
