@@ -118,8 +118,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, control: RiskControl = RiskC
     tested = tested.withColumn("p", F.expr(binomial_tail("k_good", "n_good", share)))
     tested = tested.withColumn("passes", F.col("p") <= F.lit(1 - control.confidence) / (F.col("n_strata") * len(rules)))
     certified = tested.withColumn("certified", F.min("passes").over(key.orderBy("place"))).filter("certified")
-    gain = F.coalesce(F.col("k_bad") / F.col("n_bad"), F.lit(0.0)) - F.col("k_good") / F.col("n_good")
-    best = certified.withColumn("gain", F.when(F.col("n_bad") > 0, gain).otherwise(-F.col("k_good") / F.col("n_good")))
+    caught, lost = (F.coalesce(F.try_divide(F.col(f"k_{x}"), F.col(f"n_{x}")), F.lit(0.0)) for x in ("bad", "good"))
+    best = certified.withColumn("gain", caught - lost)
     chosen = best.groupBy("stratum", "rule").agg(F.max_by("place", F.struct("gain", -F.col("place"))).alias("place"))
     cut = F.coalesce(*[F.when(F.col("rule") == name, F.array(*map(F.lit, cuts))[F.col("place")]) for name, (_, cuts) in rules.items()])
     return chosen.select("stratum", "rule", cut.alias("cutoff"))
