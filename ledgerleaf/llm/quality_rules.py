@@ -114,7 +114,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, control: RiskControl = RiskC
     # One row for each stratum; every stratum with a labelled text is a test.
     n_strata = rows.select("stratum").distinct().count()
     share = control.max_false_rejection / len(rules)
-    tested = upto.withColumn("n_strata", F.lit(n_strata))
+    tested = upto.withColumn("n_strata", F.lit(max(n_strata, 1)))
     tested = tested.withColumn("p", F.expr(binomial_tail("k_good", "n_good", share)))
     tested = tested.withColumn("passes", F.col("p") <= F.lit(1 - control.confidence) / (F.col("n_strata") * len(rules)))
     certified = tested.withColumn("certified", F.min("passes").over(key.orderBy("place"))).filter("certified")
