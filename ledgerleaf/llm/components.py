@@ -15,8 +15,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     shorten by powers of two. Labels are aggregated before they are shuffled, so a hub is no hot spot, and every round
     is a written table. A null end is no node.
     """
-    both = edges.filter("u is not null and v is not null").select("u", "v")
-    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    # Both directions come from one evaluation of an edge: where edges depend on the order of rows, two might not agree.
+    both = edges.filter("u is not null and v is not null").select(F.inline(ends)).distinct()
+    both = materialize(both, "edges")
     labels = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"), "labels")
     for _ in range(rounds):
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("_near"))

@@ -112,7 +112,8 @@ def _near_edges(table: pa.Table) -> pa.Table:
     bucket = table.column("bucket").to_numpy()
     keys = table.column("key").to_pylist()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(keys), -1)
-    order = np.argsort(bucket, kind="stable")
+    # By key within a node, so that a task that is run again returns the same edges whatever order its rows come in.
+    order = np.array(sorted(range(len(keys)), key=lambda i: (bucket[i], keys[i])), np.int64)
     u, v = [], []
     for members in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         rows = sig[members]
