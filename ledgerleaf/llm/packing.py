@@ -151,9 +151,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataF
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        received = list(batches)
+        if not sum(b.num_rows for b in received):
             return
+        table = pa.Table.from_batches(received)
         sizes = table.column("length").to_numpy()
         sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         base = TaskContext.get().partitionId() << 32

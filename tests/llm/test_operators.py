@@ -128,6 +128,26 @@ def test_empty_tables(docs, labels):
         assert df.count() == 0
     for df in (lsh_forest.near_duplicates(none), packing.pack(none), line_crf.digest(none, labels), sharding.digest(none)):
         assert df.count() == 0
+    for df in (mixing.mixed_documents(none), phrase_automata.without_repeats(none), lsh_forest.one_of_each(none), line_crf.digest(none, labels.filter("false"))):
+        assert df.count() == 0
+
+
+def test_components_of_edges_that_change_when_computed_again(spark):
+    """Triangles whose spanning star is drawn anew in every evaluation: still one component each."""
+    import pyarrow as pa
+
+    from ledgerleaf.llm.components import components
+
+    def stars(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            three = 3 * np.repeat(batch.column("id").to_numpy(), 2)
+            root = np.repeat(rng.integers(0, 3, batch.num_rows), 2)
+            other = (root + np.tile([1, 2], batch.num_rows)) % 3
+            yield pa.RecordBatch.from_pydict({"u": three + root, "v": three + other})
+
+    found = components(spark.range(100).mapInArrow(stars, "u long, v long")).collect()
+    assert {r.node: r.root for r in found} == {n: n - n % 3 for n in range(300)}
 
 
 def test_scores_of_odd_texts(docs, labels):
