@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,14 @@ def texts_of(batch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterable, most: int = 4 << 20) -> Iterator:
+    """The rows of Arrow batches in slices of about ``most`` bytes, so that a task never copies a whole batch of texts."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

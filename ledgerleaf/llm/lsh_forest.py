@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import WordHashes, if_small, mixed, texts_of, window_hashes
+from ledgerleaf.llm.common import WordHashes, if_small, mixed, sliced, texts_of, window_hashes
 from ledgerleaf.llm.components import components
 from ledgerleaf.operators.ordered import rank_within
 from ledgerleaf.store import materialize
@@ -65,7 +65,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sigs = [], []
             for text in texts_of(batch):
                 found = shingles(text, hashes)
@@ -247,7 +247,7 @@ def _keyed_texts(docs: DataFrame, ranked: DataFrame) -> DataFrame:
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             same = [hashlib.blake2b(shingles(t, hashes).tobytes(), digest_size=16).digest() == k for t, k in zip(texts_of(batch), batch.column("_key").to_pylist(), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 

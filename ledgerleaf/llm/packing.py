@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerleaf.llm.common import sliced
 from ledgerleaf.store import materialize
 
 CAPACITY = 2048
@@ -49,7 +50,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), 0], "<u4")

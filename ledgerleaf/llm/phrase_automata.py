@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerleaf.llm import repeats
-from ledgerleaf.llm.common import WordHashes, texts_of
+from ledgerleaf.llm.common import WordHashes, sliced, texts_of
 from ledgerleaf.store import materialize
 
 WINDOW = 50
@@ -124,7 +124,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, removed, sha = [], [], []
             for text, decided in zip(texts_of(batch), batch.column("_cut").to_pylist(), strict=True):
                 words, gone = _kept(text, decided)
@@ -143,7 +143,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, stays = [], []
             for text, raw, decided in zip(batch.column("text").to_pylist(), texts_of(batch), batch.column("_cut").to_pylist(), strict=True):
                 words, gone = _kept(raw, decided)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import repeats
-from ledgerleaf.llm.common import texts_of
+from ledgerleaf.llm.common import sliced, texts_of
 from ledgerleaf.store import materialize
 
 LENGTH = 400
@@ -122,7 +122,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text, decided in zip(texts_of(batch), batch.column("_cut").to_pylist(), strict=True):
                 gone = np.zeros(len(text), bool)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import WordHashes, if_small, mixed, texts_of, window_hashes
+from ledgerleaf.llm.common import WordHashes, if_small, mixed, sliced, texts_of, window_hashes
 from ledgerleaf.store import materialize
 
 
@@ -92,7 +92,7 @@ def scan(docs: DataFrame, runs: Runs) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sizes, phrases, again = [], [], [], []
             for text in texts_of(batch):
                 values = runs.values(text, hashes)
@@ -158,7 +158,7 @@ def stretches(docs: DataFrame, pairs: DataFrame, runs: Runs) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             columns = {c: batch.column(c).to_pylist() for c in ("shard", "part", "parts", "key", "first_id")}
             phrases, own = batch.column("phrases"), batch.column("own")
             out = []
