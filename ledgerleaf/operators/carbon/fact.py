@@ -37,7 +37,8 @@ def clean_fact(df: DataFrame) -> DataFrame:
     """Typed facts from text: ids, scope spelling, numbers, score and method."""
     full = complete_schema(df)
     types = dict(full.dtypes)
-    score = F.least(F.greatest(F.coalesce(_number("DataQualityScore", "double"), F.lit(3.0)), F.lit(1.0)), F.lit(5.0))
+    given = F.nanvl(_number("DataQualityScore", "double"), F.lit(None).cast("double"))
+    score = F.least(F.greatest(F.coalesce(given, F.lit(3.0)), F.lit(1.0)), F.lit(5.0))
     out = {
         "Date": F.col("Date") if types["Date"].startswith("timestamp") else parse_month_first(F.col("Date")),
         "CategoryID": F.regexp_replace(text_or_null(F.col("CategoryID")), r"^(\d+)\.0$", "$1"),

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerleaf import dims
 from ledgerleaf.functions.columns import text_or_null
@@ -22,15 +23,28 @@ DIMENSION_SCHEMAS = {
     "DimScopeCategory": dims.CATEGORY_SCHEMA,
 }
 
+#: Columns without which a dimension can't be used; of the others it is the first.
+REQUIRED = {"DimAccount": ("AccountNo", "AccountClass", "AccountGroup")}
+
 
 def read_dimension(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A dimension from CSV. The schema is explicit: inferred types would turn category 3.10 into 3.1."""
-    return spark.read.schema(DIMENSION_SCHEMAS[name]).csv(path, header=True)
+    """A dimension from CSV, its columns found by heading, in any order.
+
+    Values are read as text and cast (inferred types would turn category 3.10 into 3.1). A missing column is null, but
+    a missing required one is an error; other columns are left out.
+    """
+    raw = spark.read.csv(path, header=True, escape='"')
+    found = {c.strip("\ufeff \t"): c for c in raw.columns}
+    wanted = StructType.fromDDL(DIMENSION_SCHEMAS[name]).fields
+    missing = [c for c in REQUIRED.get(name, (wanted[0].name,)) if c not in found]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)} of {name}")
+    return raw.select(*[(raw[f"`{found[f.name]}`"] if f.name in found else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def clean_target_years(df: DataFrame) -> DataFrame:
     """Target rows with a numeric year only."""
-    year = text_or_null(F.col("Year").cast("string")).try_cast("double").cast("int")
+    year = text_or_null(F.col("Year").cast("string")).try_cast("double").try_cast("int")
     return df.withColumn("Year", year).filter(F.col("Year").isNotNull())
 
 
