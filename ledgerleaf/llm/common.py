@@ -46,11 +46,17 @@ def texts_of(batch, name: str = "text") -> list[bytes]:
 
 
 def sliced(batches: Iterable, most: int = 4 << 20) -> Iterator:
-    """The rows of Arrow batches in slices of about ``most`` bytes, so that a task never copies a whole batch of texts."""
+    """The rows of Arrow batches in slices of about ``most`` bytes, so that a task never copies a whole batch of texts.
+
+    Arrow's pool keeps freed memory; it is given back after the last batch, since the worker waits for other tasks.
+    """
+    import pyarrow as pa
+
     for batch in batches:
         rows = max(1, batch.num_rows * most // max(batch.nbytes, 1))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

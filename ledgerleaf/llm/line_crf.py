@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerleaf.llm.common import texts_of, unit_hash
+from ledgerleaf.llm.common import sliced, texts_of, unit_hash
 
 #: Labelled documents that the model is fitted on at most (those with the smallest hash of their id), and the number of
 #: lines beyond which a document is left out of fitting. Scoring has no such bounds.
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> Line
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_good", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for text, good in zip(texts_of(batch), batch.column("_good").to_pylist(), strict=True):
                 features, lines, _ = line_features([text])
                 if lines[0] <= FIT_LINES:
@@ -195,7 +195,7 @@ def with_score(docs: DataFrame, model: LineModel, name: str) -> DataFrame:
     """All rows and columns of ``docs``, and the score of the text."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = texts_of(batch)
             values, block, size = [np.zeros(0)], [], 0
             for text in texts:

@@ -33,7 +33,9 @@ NEAR = 0.58
 #: Texts that meet at one trie node and are compared by signature; at larger nodes all belong to one cluster.
 NODE = 2048
 #: Texts in a block of the verification, and columns of its incidence matrix at a time.
-BLOCK, COLUMNS = 1024, 4096
+BLOCK, COLUMNS = 1024, 1024
+#: Rows of a pair matrix that a step works on, so that temporaries stay far smaller than the matrix.
+ROWS = 128
 
 _FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _OFFSETS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -98,9 +100,11 @@ def forest_edges(near: np.ndarray) -> list[tuple[int, int]]:
     """(root, member) for every member of a component of a symmetric boolean matrix."""
     n = len(near)
     label = np.arange(n)
-    reach = near | np.eye(n, dtype=bool)
     while True:
-        low = np.where(reach, label[None, :], n).min(axis=1)
+        low = label.copy()
+        for start in range(0, n, ROWS):
+            part = slice(start, start + ROWS)
+            low[part] = np.minimum(low[part], np.where(near[part], label[None, :], n).min(axis=1))
         low = low[low]
         if (low == label).all():
             return [(int(r), i) for i, r in enumerate(label.tolist()) if r != i]
@@ -184,14 +188,19 @@ def _linked(sets: list[np.ndarray]) -> np.ndarray:
     row, column = row[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((n, n), np.float64)
+    common = np.zeros((n, n), np.int32)
     for start in range(0, int(shared.sum()), COLUMNS):
         lo, hi = np.searchsorted(column, (start, start + COLUMNS))
         incidence = np.zeros((n, COLUMNS), np.float32)
         incidence[row[lo:hi], column[lo:hi] - start] = 1
-        common += incidence @ incidence.T
+        for first in range(0, n, ROWS):
+            # Sums of at most COLUMNS ones are exact in 32-bit floats.
+            common[first : first + ROWS] += (incidence[first : first + ROWS] @ incidence.T).astype(np.int32)
     over, under = THRESHOLD
-    linked = (over + under) * common >= over * (sizes[:, None] + sizes[None])
+    linked = np.empty((n, n), bool)
+    for first in range(0, n, ROWS):
+        part = slice(first, first + ROWS)
+        linked[part] = (over + under) * common[part].astype(np.int64) >= over * (sizes[part, None] + sizes[None])
     np.fill_diagonal(linked, False)
     return linked
 
