@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY_LINE = "decimal(18,4)"
+MONEY_LINE = "decimal(28,4)"
 MONEY_POSTING = "decimal(18,2)"
 
 # Spellings of "no text".
@@ -42,9 +42,12 @@ def parse_amount(c: Column) -> Column:
 
 
 def amount_is_suspect(c: Column) -> Column:
-    """True where ``parse_amount`` changes the meaning: letters, comma decimals, or a minus that is not leading."""
+    """True where ``parse_amount`` changes the meaning: letters, comma decimals, a minus that is not leading, or digits that
+    are no number of up to 24 places before the point."""
     trimmed = F.coalesce(F.trim(c), F.lit(""))
-    return trimmed.rlike("[A-Za-z]") | trimmed.rlike(r",\d{1,2}\)?$") | trimmed.rlike(r"[0-9.]-")
+    digits = F.regexp_replace(trimmed, r"[^0-9.\-]", "")
+    unread = digits.rlike("[0-9]") & digits.try_cast(MONEY_LINE).isNull()
+    return unread | trimmed.rlike("[A-Za-z]") | trimmed.rlike(r",\d{1,2}\)?$") | trimmed.rlike(r"[0-9.]-")
 
 
 def parse_date(c: Column, layouts: tuple[str, ...]) -> Column:

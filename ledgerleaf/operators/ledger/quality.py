@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions.columns import MONEY_LINE
 from ledgerleaf.settings import LedgerSettings
 
 # Check names and notes, in report order.
@@ -99,17 +100,19 @@ def quality_summary(lines: DataFrame, postings: DataFrame, accounts: DataFrame)
 def quality_detail(
     lines: DataFrame, postings: DataFrame, accounts: DataFrame, cfg: LedgerSettings = LedgerSettings()
 ) -> DataFrame:
-    """The first rows of each check in one shape. Each check is its own top-k, so no check is ever sorted as a whole."""
+    """The offending rows of every check in one shape; with ``cfg.detail_rows`` only the first so many of each check."""
     shape = {
         "PostingID": "string", "LineNo": "bigint", "AccountNo": "string", "AccountName": "string", "PostingDate": "timestamp_ntz",
-        "Amount": "decimal(18,4)", "Debit": "decimal(18,4)", "Credit": "decimal(18,4)",
+        "Amount": MONEY_LINE, "Debit": MONEY_LINE, "Credit": MONEY_LINE,
     }
 
     def part(check: tuple[str, str], df: DataFrame, key: list[str]) -> DataFrame:
         cols = [
             (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()
         ]
-        return df.orderBy(*key).limit(cfg.detail_rows).select(F.lit(check[0]).alias("Check"), *cols)
+        if cfg.detail_rows is not None:
+            df = df.orderBy(*key).limit(cfg.detail_rows)
+        return df.select(F.lit(check[0]).alias("Check"), *cols)
 
     line_key = ["PostingID", "LineNo"]
     parts = [

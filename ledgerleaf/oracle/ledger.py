@@ -286,9 +286,9 @@ def _checked(no: int, name: str, note: str, count: str) -> str:
 _DETAIL = "CAST({pid} AS VARCHAR) AS PostingID, CAST({ln} AS BIGINT) AS LineNo, CAST({no} AS VARCHAR) AS AccountNo, CAST({nm} AS VARCHAR) AS AccountName, CAST({dt} AS TIMESTAMP) AS PostingDate, CAST({am} AS DOUBLE) / 100.0 AS Amount, CAST({dr} AS DOUBLE) / 100.0 AS Debit, CAST({cr} AS DOUBLE) / 100.0 AS Credit"
 
 
-def _detail(check: str, source: str, order: str, **cols: str) -> str:
+def _detail(check: str, source: str, **cols: str) -> str:
     base = dict(pid="NULL", ln="NULL", no="NULL", nm="NULL", dt="NULL", am="NULL", dr="NULL", cr="NULL") | cols
-    return f"SELECT * FROM (SELECT '{check}' AS \"Check\", {_DETAIL.format(**base)} FROM {source} ORDER BY {order} LIMIT 500)"
+    return f"SELECT '{check}' AS \"Check\", {_DETAIL.format(**base)} FROM {source}"
 
 
 _LINE_COLS = dict(pid="PostingID", ln="LineNo", nm="AccountName", dr="dr", cr="cr")
@@ -382,13 +382,13 @@ def statements() -> dict[str, str]:
         "gl_dq_detail": p(
             " UNION ALL ".join(
                 [
-                    _detail("Unbalanced entries", "postings WHERE imb <> 0", "PostingID", pid="PostingID", dt="PostingDate", am="imb"),
-                    _detail("Lines with no date", "lines WHERE PostingDate IS NULL", "PostingID, LineNo", **_LINE_COLS),
-                    _detail("Lines with no account", "lines WHERE AccountName IS NULL", "PostingID, LineNo", **_NO_ACCOUNT_COLS),
-                    _detail("Lines with both debit and credit", "lines WHERE dr > 0 AND cr > 0", "PostingID, LineNo", **_LINE_COLS),
-                    _detail("Accounts classified by keyword guess", "accounts WHERE Source = 'keyword guess'", "AccountNo", no="AccountNo", nm="AccountName"),
-                    _detail("Entries with no preparer", "postings WHERE UserID IS NULL", "PostingID", pid="PostingID", dt="PostingDate", am="dr"),
-                    _detail("Duplicate lines inside an entry", "duplines", "PostingID, LineNo", **_LINE_COLS),
+                    _detail("Unbalanced entries", "postings WHERE imb <> 0", pid="PostingID", dt="PostingDate", am="imb"),
+                    _detail("Lines with no date", "lines WHERE PostingDate IS NULL", **_LINE_COLS),
+                    _detail("Lines with no account", "lines WHERE AccountName IS NULL", **_NO_ACCOUNT_COLS),
+                    _detail("Lines with both debit and credit", "lines WHERE dr > 0 AND cr > 0", **_LINE_COLS),
+                    _detail("Accounts classified by keyword guess", "accounts WHERE Source = 'keyword guess'", no="AccountNo", nm="AccountName"),
+                    _detail("Entries with no preparer", "postings WHERE UserID IS NULL", pid="PostingID", dt="PostingDate", am="dr"),
+                    _detail("Duplicate lines inside an entry", "duplines", **_LINE_COLS),
                 ]
             ),
             QUALITY,
@@ -435,7 +435,7 @@ def statements() -> dict[str, str]:
         "gl_sum_year": p(f"SELECT Year, {_TIMING} FROM postings WHERE Year IS NOT NULL GROUP BY 1"),
         "gl_sum_preparer": p(f"SELECT p.UserID, count(*) AS Postings, round(avg(LagDays), 6) AS AvgLagDays, {rate('IsOnTime', 'OnTimeRate_all')}, {rate('CASE WHEN HasLag THEN IsOnTime END', 'OnTimeRate_known')}, nullif(count(f.PostingID), 0) AS Flagged, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM postings), 6) AS Share FROM postings p LEFT JOIN flagged f USING (PostingID) WHERE p.UserID IS NOT NULL GROUP BY 1", FLAGS),
         "gl_sum_month": p(f"SELECT YearMonth, count(*) AS Postings, round(avg(LagDays), 6) AS AvgLagDays, {rate('IsOnTime', 'OnTimeRate_all')}, {rate('CASE WHEN HasLag THEN IsOnTime END', 'OnTimeRate_known')} FROM postings GROUP BY 1"),
-        "gl_findings": p("SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS Rank, Code, Subject, Count, Amount, Share, Value FROM cand QUALIFY row_number() OVER (ORDER BY o) <= 5", FLAGS, exact, FINDINGS),
+        "gl_findings": p("SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS Rank, Code, Subject, Count, Amount, Share, Value FROM cand", FLAGS, exact, FINDINGS),
         "snk_flag_extract": p(f"SELECT {FLAG_ROW} FROM flags WHERE Test IN ('Unbalanced entry', 'Possible duplicate', 'Very late entry')", FLAGS),
         "snk_ledger_marts": p(
             """SELECT 'by_year' AS Mart, (SELECT count(DISTINCT Year) FROM postings) AS Rows

@@ -67,13 +67,13 @@ def statements() -> dict[str, str]:
         "src_dimensions": f"WITH {carbon.FACT}, {carbon.CATS} SELECT 'DimSite' AS \"Table\", n_name AS ID, 'Site ' || n_name AS Name FROM nation UNION ALL SELECT DISTINCT 'DimScopeCategory', i.cat, CategoryName FROM inv i JOIN cats ON i.cat = CategoryID",
         "gl_canonical_lines": c(f"SELECT {line}, PostingID, PostingDate, CAST(CAST(DocumentDate AS DATE) AS TIMESTAMP) AS DocumentDate, EnteredDateTime, AccountNo, AccountName, {amounts}, UserID, Counterparty, RefPostingID, CAST(NULL AS VARCHAR) AS LineText FROM canon"),
         "gl_parse_amount": c(f"SELECT {line}, {amounts} FROM keyed UNION ALL " + extra.format(f"CASE WHEN kind = 5 THEN {money('dr', 'd').split(' AS d')[0]} ELSE 0 END, 0")),
-        "gl_signed_split": c(f"SELECT {line}, CAST(greatest(dr - cr, 0) AS DOUBLE) / 100.0 AS Debit, CAST(greatest(cr - dr, 0) AS DOUBLE) / 100.0 AS Credit FROM keyed"),
+        "gl_signed_split": c(f"SELECT {line}, CAST(greatest(dr - cr, 0) AS DOUBLE) / 100.0 AS Debit, CAST(greatest(cr - dr, 0) AS DOUBLE) / 100.0 AS Credit FROM keyed UNION ALL " + extra.format("0, 0")),
         "gl_parse_dates": c(f"SELECT {line}, PostingDate, DocumentDate, EnteredDateTime FROM keyed UNION ALL " + extra.format("NULL, NULL, NULL")),
         "gl_text_nulls": c(f"SELECT {line}, CASE WHEN kind = 2 OR kind = 3 AND pos > 0 THEN NULL ELSE PostingID END AS PostingID, UserID, Counterparty, RefPostingID FROM keyed UNION ALL " + extra.format("NULL, NULL, NULL, NULL")),
         "gl_account_fallback": c("SELECT SourceFile, count(*) FILTER (WHERE AccountNo IS NOT DISTINCT FROM AccountName) AS SameAccount, count(AccountNo) AS Numbers, count(AccountName) AS Names FROM canon GROUP BY 1"),
         "gl_noise_filter": c("SELECT SourceFile, count(*) AS Lines, count(*) FILTER (WHERE AccountName IS NULL) AS NoAccount FROM canon GROUP BY 1"),
-        "gl_synthetic_ids": c("SELECT SourceFile, PostingID, 'E' || (row_number() OVER (PARTITION BY SourceFile ORDER BY min(LineNo)) - 1) AS NumberedID, count(*) AS Lines FROM canon WHERE kind = 2 GROUP BY 1, 2"),
-        "gl_ffill_ids": c(f"SELECT {line}, PostingID FROM canon WHERE kind = 3"),
+        "gl_synthetic_ids": c("SELECT SourceFile, PostingID, 'E' || (row_number() OVER (PARTITION BY SourceFile ORDER BY min(LineNo)) - 1) AS NumberedID, count(*) AS Lines FROM canon GROUP BY 1, 2"),
+        "gl_ffill_ids": c(f"SELECT {line}, PostingID FROM canon"),
         "gl_report_unroll": c(
             f"""SELECT {line}, typ || ' ' || coalesce(num, strftime(d, '%Y-%m-%d')) AS PostingID, d AS PostingDate, AccountName, {amounts}, cp AS Counterparty FROM rep WHERE AccountName IS NOT NULL""",
             """rep AS (SELECT SourceFile, LineNo, AccountName, dr, cr,

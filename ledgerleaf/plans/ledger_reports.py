@@ -13,7 +13,6 @@ from ledgerleaf.operators.ledger.postings import LAG_BANDS
 from ledgerleaf.settings import LedgerSettings
 
 HISTOGRAM_BINS = 40
-MAX_FINDINGS = 5
 CASH_SHARE_LIMIT = 0.1
 
 
@@ -297,7 +296,7 @@ def summary_by_month(postings: DataFrame) -> DataFrame:
 
 
 def findings(postings: DataFrame, flags: DataFrame, settlements: DataFrame | None) -> DataFrame:
-    """Up to five findings as data, the unbalanced entries first."""
+    """All findings as ranked data, the unbalanced entries first."""
     null_s, null_n, null_d = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("double")
 
     def finding(order: int, code: str, subject=null_s, count=null_n, amount=null_d, share=null_d, value=null_d) -> list[Column]:
@@ -364,4 +363,4 @@ def findings(postings: DataFrame, flags: DataFrame, settlements: DataFrame | Non
         parts += [open_, cash]
     # At most six one-row parts reach this window.
     ranked = reduce(DataFrame.unionByName, parts).withColumn("Rank", F.row_number().over(Window.orderBy("o")))
-    return ranked.filter(F.col("Rank") <= MAX_FINDINGS).select("Rank", "Code", "Subject", "Count", "Amount", "Share", "Value")
+    return ranked.select("Rank", "Code", "Subject", "Count", "Amount", "Share", "Value")

@@ -28,7 +28,7 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exports.data_rows(cells, exports.headings(cells))
     return rows.groupBy(
         F.regexp_extract("SourceFile", "SourceFile=([^/]+)/", 1).alias("SourceFile"), "Separator", "HeaderLine"
-    ).agg(F.count(F.lit(1)).alias("Rows"), F.count(F.element_at("Cells", 5)).alias("FifthCells"))
+    ).agg(F.count(F.lit(1)).alias("Rows"), F.count(F.get("Cells", F.lit(4))).alias("FifthCells"))
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = untidy.untidy_journal(spark, sf_dir).filter(F.col("Amount").isNotNull())
+    raw = untidy.untidy_journal(spark, sf_dir)
     return canonical.parse_amounts(raw, signed=True).select("SourceFile", "LineNo", "Debit", "Credit")
 
 
@@ -93,13 +93,13 @@ def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = materialize(_canonical(spark, sf_dir).filter("SourceFile LIKE 'kind2-%'"), "canonical-lines")
+    kept = materialize(_canonical(spark, sf_dir), "canonical-lines")
     numbered = canonical.first_appearance_ids(kept)
     return kept.join(numbered, ["SourceFile", "PostingID"]).groupBy("SourceFile", "PostingID", "NumberedID").agg(F.count(F.lit(1)).alias("Lines"))
 
 
 def _ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _canonical(spark, sf_dir).filter("SourceFile LIKE 'kind3-%'").select("SourceFile", "LineNo", "PostingID")
+    return _canonical(spark, sf_dir).select("SourceFile", "LineNo", "PostingID")
 
 
 def _unroll(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ class LedgerSettings:
     dormant_max: int = 5
     very_late_days: int = 30
     fifo_grace_days: int = 5
-    detail_rows: int = 500
+    # Rows of each check in the detail table; all of them unless a caller sets a limit.
+    detail_rows: int | None = None
     # SQL expression that orders lines over the whole input. Use "struct(SourceFile, LineNo)" for several files.
     line_order: str = "LineNo"
 

@@ -39,7 +39,9 @@ def read_dimension(spark: SparkSession, path: str, name: str) -> DataFrame:
     missing = [c for c in REQUIRED.get(name, (wanted[0].name,)) if c not in found]
     if missing:
         raise ValueError(f"{path} lacks {', '.join(missing)} of {name}")
-    return raw.select(*[(raw[f"`{found[f.name]}`"] if f.name in found else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in wanted])
+    table = raw.select(*[(raw[f"`{found[f.name]}`"] if f.name in found else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in wanted])
+    # The order of a factor library decides which of its rows a name resolves to.
+    return table.withColumn("lib_no", F.monotonically_increasing_id()) if name == "DimEmissionFactor" else table
 
 
 def clean_target_years(df: DataFrame) -> DataFrame:

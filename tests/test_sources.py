@@ -1,8 +1,12 @@
 """Files and values that the derived tables don't contain."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerleaf.functions.columns import amount_is_suspect
 from ledgerleaf.operators.carbon.fact import clean_fact
+from ledgerleaf.operators.carbon.factors import activity_columns, activity_to_fact
+from ledgerleaf.operators.ledger.canonical import to_canonical
 from ledgerleaf.sources import bundles, exports
 
 
@@ -30,3 +34,39 @@ def test_doubled_quotes_and_backslashes(spark, tmp_path):
     (tmp_path / "lines.csv").write_text('Account,Text,Debit,Credit\n1000,"said ""hi"", bye",10,0\n1100,"C:\\",0,10\n')
     rows = {r.LineNo: [c for c in r.Cells if c is not None] for r in exports.scan_exports(spark, str(tmp_path)).orderBy("LineNo").collect()}
     assert list(rows.values())[1:] == [["1000", 'said "hi", bye', "10", "0"], ["1100", "C:\\", "0", "10"]]
+
+
+def test_wide_rows_and_quoted_line_breaks(spark, tmp_path):
+    names = [f"c{i}" for i in range(80)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(names) + "\n")
+    (tmp_path / "broken.csv").write_text('Account,Text,Debit,Credit\n1000,"two\nlines, ""both""",10,0\n1100,,0,10\nx,y\n')
+    rows = exports.scan_exports(spark, str(tmp_path)).collect()
+    wide = [r.Cells for r in rows if r.SourceFile.endswith("wide.csv")]
+    broken = [r.Cells for r in sorted(rows, key=lambda r: r.LineNo) if r.SourceFile.endswith("broken.csv")]
+    assert wide == [names, names]
+    assert broken[1:] == [["1000", 'two\nlines, "both"', "10", "0"], ["1100", None, "0", "10"], ["x", "y"]]
+
+
+def test_signed_amounts_from_a_file(spark, tmp_path):
+    (tmp_path / "signed.csv").write_text("Date,Account,Num,Amount\n2024-01-02,Cash,1,(10.50)\n2024-01-02,Sales,1,10.50\n2024-01-03,Big,2,123456789012345.00\n")
+    cells = exports.scan_exports(spark, str(tmp_path))
+    heads = exports.headings(cells)
+    lines = to_canonical(exports.mapped_rows(exports.data_rows(cells, heads), exports.column_map(heads)), signed=True)
+    got = {r.AccountName: (str(r.Debit), str(r.Credit)) for r in lines.collect()}
+    assert got == {"Cash": ("0.0000", "10.5000"), "Sales": ("10.5000", "0.0000"), "Big": ("123456789012345.0000", "0.0000")}
+
+
+def test_amounts_that_fit_no_decimal_are_suspect(spark):
+    texts = spark.createDataFrame([("9" * 30,), ("-",), ("12.50",), ("1.2.3",), (None,)], "t string")
+    assert [r[0] for r in texts.select(amount_is_suspect(F.col("t"))).collect()] == [True, False, False, True, False]
+
+
+def test_own_factor_library_and_choices(spark, tmp_path):
+    path = tmp_path / "library.csv"
+    path.write_text("FactorID,ActivityType,Factor,FactorUnit,Method,CategoryID,Region\nF1,Coal,2,kg/kg,,,\nF2,coal,3,kg/kg,,,\nF3,Peat,5,kg/kg,,,\n")
+    library = bundles.read_dimension(spark, str(path), "DimEmissionFactor")
+    raw = spark.createDataFrame([("2024-01-01", "Scope 1", "Coal", "10"), ("2024-01-01", "Scope 1", "Turf", "10")], "d string, s string, a string, q string")
+    activity = activity_columns(raw, {"Date": "d", "Scope": "s", "ActivityType": "a", "Quantity": "q"})
+    choices = spark.createDataFrame([("Turf", "F3")], "ActivityType string, FactorID string")
+    facts = activity_to_fact(activity, library, choices).collect()
+    assert {r.ActivityType: (r.FactorID, float(r.EmissionFactor)) for r in facts} == {"Coal": ("F1", 2.0), "Turf": ("F3", 5.0)}
