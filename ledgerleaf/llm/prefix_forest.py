@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import unit_hash
+from ledgerleaf.llm.common import if_small, unit_hash
 from ledgerleaf.store import materialize
 
 TREES, BITS = 16, 16
@@ -50,14 +50,32 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(packed, "vec_id long, v binary")
 
 
+def distinct(rows: DataFrame) -> DataFrame:
+    """(vec_id, v, share): equal rows once; ``share`` is one over the vectors that the id has, so an id counts as one."""
+    ids = materialize(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("vec_id").alias("_id")), "repeated")
+    one = F.lit(1.0).alias("share")
+    if not ids.head(1):
+        return rows.select("vec_id", "v", one)
+    ids = if_small(ids)
+    same = F.col("vec_id") == F.col("_id")
+    several = materialize(rows.join(ids, same, "left_semi").dropDuplicates(["vec_id", "v"]), "distinct")
+    vectors = materialize(several.groupBy(F.col("vec_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")), "shares")
+    shared = several.join(if_small(vectors), same).select("vec_id", "v", (1 / F.col("n")).alias("share"))
+    return materialize(rows.join(ids, same, "left_anti").select("vec_id", "v", one).unionByName(shared), "once")
+
+
 @dataclass
 class Forest:
-    """Hyperplanes and, for each level, how many vectors have each prefix in each tree (at most 2^BITS a tree)."""
+    """Hyperplanes and, for each level, how many vectors and ids have each prefix in each tree (at most 2^BITS a tree).
+
+    An id with several vectors counts in ``ids`` by the share of them that have the prefix.
+    """
 
     kind: str
     mean: np.ndarray
     planes: np.ndarray
     counts: list[np.ndarray] | None = None
+    ids: list[np.ndarray] | None = None
     enough: float = 0
 
     def matrix(self, raw: list[bytes]) -> np.ndarray:
@@ -69,11 +87,11 @@ class Forest:
         return bits @ (1 << np.arange(BITS - 1, -1, -1))
 
     def met(self, codes: np.ndarray, level: int) -> np.ndarray:
-        """Sum over trees of the vectors that share the first ``level`` bits."""
-        return self.counts[level][np.arange(TREES), codes >> (BITS - level)].sum(axis=1)
+        """Sum over trees of the ids that share the first ``level`` bits."""
+        return self.ids[level][np.arange(TREES), codes >> (BITS - level)].sum(axis=1)
 
     def levels(self, codes: np.ndarray) -> np.ndarray:
-        """The deepest level at which each query has met enough vectors; 0 (all vectors) if there is none."""
+        """The deepest level at which each query has met enough ids; 0 (all vectors) if there is none."""
         best = np.zeros(len(codes), np.int64)
         for level in range(1, BITS + 1):
             best[self.met(codes, level) >= self.enough] = level
@@ -90,12 +108,16 @@ def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k nearest, ties to smaller ids."""
-    if len(distance) > k:
-        near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
-    else:
-        near = np.arange(len(distance))
-    return near[np.lexsort((ids[near], distance[near]))][:k]
+    """Places of the k nearest ids, each by its nearest row, ties to smaller ids."""
+    most = k
+    while True:
+        every = len(distance) <= most
+        near = np.arange(len(distance)) if every else np.flatnonzero(distance <= np.partition(distance, most - 1)[most - 1])
+        near = near[np.lexsort((ids[near], distance[near]))]
+        first = np.sort(np.unique(ids[near], return_index=True)[1])
+        if every or len(first) >= k:
+            return near[first[:k]]
+        most *= 4  # rows of ids that are there already
 
 
 def build(vectors: DataFrame, queries: DataFrame, kind: str) -> Forest:
@@ -117,19 +139,22 @@ def build(vectors: DataFrame, queries: DataFrame, kind: str) -> Forest:
     forest = Forest(kind, mean, planes)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TREES << BITS, np.int64)
+        total, ids = np.zeros(TREES << BITS, np.int64), np.zeros(TREES << BITS)
         for batch in batches:
             if batch.num_rows:
                 codes = forest.codes(forest.matrix(batch.column("v").to_pylist()))
-                total += np.bincount((codes + (np.arange(TREES) << BITS)).ravel(), minlength=len(total))
+                cell = (codes + (np.arange(TREES) << BITS)).ravel()
+                total += np.bincount(cell, minlength=len(total))
+                ids += np.bincount(cell, np.repeat(batch.column("share").to_numpy(), TREES), len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"cell": at, "n": total[at]})
+        yield pa.RecordBatch.from_pydict({"cell": at, "n": total[at], "ids": ids[at]})
 
     # At most TREES * 2^BITS rows.
-    cells = vectors.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    full = np.zeros(TREES << BITS, np.int64)
+    cells = vectors.mapInArrow(counted, "cell long, n long, ids double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids")).toPandas()
+    full, ids = np.zeros(TREES << BITS, np.int64), np.zeros(TREES << BITS)
     full[cells["cell"]] = cells["n"]
-    forest.counts = [full.reshape(TREES, 1 << level, -1).sum(axis=2) for level in range(BITS + 1)]
+    ids[cells["cell"]] = cells["ids"]
+    forest.counts, forest.ids = ([x.reshape(TREES, 1 << level, -1).sum(axis=2) for level in range(BITS + 1)] for x in (full, ids))
     sample = queries.orderBy(unit_hash("forest", F.col("vec_id")), "vec_id").limit(SAMPLE).toPandas()
     if len(sample):
         forest.enough = _enough(vectors, sample, forest)
@@ -154,11 +179,13 @@ def _enough(vectors: DataFrame, sample, forest: Forest) -> float:
 
     found = vectors.mapInArrow(nearest, "q long, vec_id long, far double, bits long").filter("far < double('infinity')")
     place = F.row_number().over(Window.partitionBy("q").orderBy("far", "vec_id"))
+    # The nearest row of each id, of equally near ones that with the longest prefix.
+    found = found.groupBy("q", "vec_id").agg(F.min(F.struct("far", (-F.col("bits")).alias("less"))).alias("least")).select("q", "vec_id", "least.far", (-F.col("least.less")).alias("bits"))
     true = found.withColumn("place", place).filter(F.col("place") <= NEIGHBOURS).select("q", "bits").toPandas()
     if not len(true):
         return 0
     need = np.array([forest.met(codes[q : q + 1], bits)[0] for q, bits in zip(true["q"], true["bits"], strict=True)])
-    # With 11 vectors a tree on average, one tree has 10 besides the query.
+    # With 11 ids a tree on average, one tree has 10 besides the query.
     return max(float(np.quantile(need, RECALL, method="higher")), TREES * (NEIGHBOURS + 1))
 
 
@@ -169,8 +196,8 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, neighbours: int = NEIGH
     nearest counts, and none is a neighbour of its own id; ties go to the smaller id; an empty table gives no rows.
     """
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
-    known = materialize(usable(vectors), "vectors")
-    queries = known.filter(F.col("vec_id") % every == 0)
+    known = distinct(materialize(usable(vectors), "vectors"))
+    queries = known.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
     built = build(known, queries, kind)
     shared = known.sparkSession.sparkContext.broadcast(built)
 

@@ -120,6 +120,25 @@ def test_nearest(spark):
     assert len(found) == 30 and hits >= 27
 
 
+@pytest.mark.parametrize("times", [2, 20])
+def test_nearest_of_repeated_rows(spark, times):
+    """Each row ``times`` times, and one id near a query with thirty vectors of its own: ten distinct neighbours each."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 8))
+    own = x[0] + rng.standard_normal((30, 8)) / 1000
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * times + [(300, v.tolist()) for v in own]
+    found = prefix_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    hits = 0
+    for q in (0, 100, 200):
+        near = np.append(((x - x[q]) ** 2).sum(1), ((own - x[q]) ** 2).sum(1).min()) ** 0.5
+        near[q] = np.inf
+        mine = {r.vec_id: (r.rank, r.score) for r in found if r.query_id == q}
+        assert sorted(r for r, _ in mine.values()) == list(range(1, 11))
+        assert all(abs(near[i] - s) < 1e-9 for i, (_, s) in mine.items())
+        hits += len(set(mine) & set(np.argsort(near)[:10].tolist()))
+    assert hits >= 27 and 300 in {r.vec_id for r in found if r.query_id == 0}
+
+
 def test_empty_tables(docs, labels):
     from ledgerleaf.llm import line_crf, log_bilinear
 
