@@ -2,7 +2,8 @@
 
 Documents are tokenised where they are read. The pieces of documents (two dozen bytes each) are dealt evenly into blocks;
 each block is packed best-fit first, largest pieces before smaller ones, and then improved: moving a piece, or exchanging
-one for one or two for one between bins that aren't full, whenever that raises the sum of squared fills, until bins empty.
+one for one or two for one between bins that aren't full, whenever that raises the sum of squared fills, until no bin can
+give to one that is at least as full.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from ledgerleaf.store import materialize
 CAPACITY = 2048
 #: Pieces that one task packs; a block leaves a bin or two that aren't full.
 BLOCK = 1 << 16
-#: The bins, least filled first, that the search of a block tries to empty.
-SEARCHED = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -88,56 +87,118 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, searched: int = SEARCHED) -> list[list[int]]:
+def _amounts(members: list[int], sizes: np.ndarray) -> np.ndarray:
+    """What a bin can give back for a piece: nothing, one of its pieces or two of them."""
+    own = sizes[members]
+    first, second = np.triu_indices(len(own), 1)
+    return np.unique(np.concatenate(([0], own, own[first] + own[second])))
+
+
+class _Takers:
+    """Bins with room, by what they give back and by free room: (capacity + 1)² counts of four bytes, 17 MB for 2048."""
+
+    def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int) -> None:
+        self.bins, self.sizes, self.back = bins, sizes, np.arange(capacity + 1)
+        self.count = np.zeros((capacity + 1, capacity + 1), np.int32)  # by amount and room
+        self.most = np.full(capacity + 1, -1, np.int64)  # the largest room of a bin that gives each amount
+        self.amounts: dict[int, np.ndarray] = {}
+        self.by_room: dict[int, dict[int, None]] = defaultdict(dict)
+
+    def add(self, b: int, room: int) -> None:
+        # Amounts are sorted: a bin's largest pairs are no more than it holds.
+        amounts = self.amounts[b] = _amounts(self.bins[b], self.sizes)
+        self.count[amounts, room] += 1
+        self.most[amounts] = np.maximum(self.most[amounts], room)
+        self.by_room[room][b] = None
+
+    def remove(self, b: int, room: int) -> None:
+        amounts = self.amounts.pop(b)
+        del self.by_room[room][b]
+        self.count[amounts, room] -= 1
+        gone = amounts[(self.most[amounts] == room) & (self.count[amounts, room] == 0)]
+        if len(gone):
+            left = self.count[gone, : room + 1] > 0
+            self.most[gone] = np.where(left.any(axis=1), room - left[:, ::-1].argmax(axis=1), -1)
+
+    def best(self, gives: np.ndarray) -> tuple[int, int, int, int] | None:
+        """(size, amount, taker, its room) of the step that moves most, to the fullest bin that can take it."""
+        reach = np.maximum.accumulate(np.where(self.most >= 0, self.back + self.most, -1))
+        gives = gives[reach[gives - 1] >= gives]
+        if not len(gives):
+            return None
+        gain = gives[:, None] - self.back
+        gain[(gain <= 0) | (gain > self.most)] = 0
+        i, amount = (int(x) for x in np.unravel_index(int(gain.argmax()), gain.shape))
+        moved = int(gain[i, amount])
+        room = moved + int((self.count[amount, moved:] > 0).argmax())
+        for b in self.by_room[room]:
+            amounts = self.amounts[b]
+            at = int(amounts.searchsorted(amount))
+            if at < len(amounts) and amounts[at] == amount:
+                return int(gives[i]), amount, b, room
+        raise AssertionError("the counts of takers differ from their amounts")
+
+
+def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search on the bins that aren't full.
 
-    The least filled bin gives: a piece moves to a bin with room for it, else it is exchanged for a smaller piece, or
-    for two pieces that are smaller together, of a bin with room for the difference. Each step moves fill from a bin to
-    a fuller one, so the sum of squared fills rises and the search ends. Bins that can give no more are set aside.
+    The least filled bin gives: a piece moves to a bin with room for it, or is exchanged for a smaller piece, or for two
+    pieces that are smaller together, of a bin that is at least as full and has room for the difference. Each step moves
+    fill from a bin to one as full or fuller, so the sum of squared fills rises and the search ends. A bin that can give
+    no more is set aside; passes over all bins are repeated until one finds no step.
     """
-    full = [b for b in bins if int(sizes[b].sum()) == capacity]
-    open_bins = sorted((b for b in bins if int(sizes[b].sum()) < capacity), key=lambda b: int(sizes[b].sum()))
-    fill = [int(sizes[b].sum()) for b in open_bins]
-    for giver in range(min(searched, len(open_bins))):
-        moved = True
-        while moved and open_bins[giver]:
-            moved = any(_step(open_bins, fill, sizes, giver, taker, capacity) for taker in range(len(open_bins) - 1, -1, -1) if taker != giver and fill[taker] >= fill[giver])
-    return full + [b for b in open_bins if b]
-
-
-def _step(bins: list[list[int]], fill: list[int], sizes: np.ndarray, giver: int, taker: int, capacity: int) -> bool:
-    """One move or exchange from ``giver`` to ``taker`` that fills ``taker`` as far as it can; false if there is none."""
-    room = capacity - fill[taker]
-    if room <= 0 or not bins[taker] or not bins[giver]:
-        return False
-    gives, takes = sizes[bins[giver]].astype(np.int64), sizes[bins[taker]].astype(np.int64)
-    fits = np.where(gives <= room, gives, -1)
-    best, plan = int(fits.max(initial=-1)), None
-    if best > 0:
-        plan = ([int(fits.argmax())], [])
-    gain = gives[:, None] - takes[None, :]
-    gain = np.where((gain > 0) & (gain <= room), gain, -1)
-    if gain.size and int(gain.max()) > best:
-        best = int(gain.max())
-        i, j = np.unravel_index(int(gain.argmax()), gain.shape)
-        plan = ([int(i)], [int(j)])
-    if len(takes) > 1 and best < room:
-        a, b = np.triu_indices(len(takes), 1)
-        two = gives[:, None] - (takes[a] + takes[b])[None, :]
-        two = np.where((two > 0) & (two <= room), two, -1)
-        if int(two.max()) > best:
-            best = int(two.max())
-            i, j = np.unravel_index(int(two.argmax()), two.shape)
-            plan = ([int(i)], [int(a[j]), int(b[j])])
-    if plan is None:
-        return False
-    out, back = plan
-    given, got = [bins[giver][i] for i in out], [bins[taker][j] for j in back]
-    bins[giver] = [x for k, x in enumerate(bins[giver]) if k not in out] + got
-    bins[taker] = [x for k, x in enumerate(bins[taker]) if k not in back] + given
-    fill[giver] -= best
-    fill[taker] += best
-    return True
+    sizes = np.asarray(sizes, np.int64)
+    fill = [int(sizes[b].sum()) for b in bins]
+    bins = [list(b) for b in bins]
+    while _pass(bins, fill, sizes, capacity):
+        pass
+    return [b for b in bins if b]
+
+
+def _pass(bins: list[list[int]], fill: list[int], sizes: np.ndarray, capacity: int) -> int:
+    """Every bin that isn't full gives, least filled first; the number of steps."""
+    takers, steps = _Takers(bins, sizes, capacity), 0
+    for b, n in enumerate(fill):
+        if 0 < n < capacity:
+            takers.add(b, capacity - n)
+    for room in range(capacity - 1, 0, -1):  # takers only gain fill
+        for giver in list(takers.by_room[room]):
+            if giver not in takers.by_room[room]:  # it has gained
+                continue
+            takers.remove(giver, room)
+            while bins[giver]:
+                found = takers.best(np.unique(sizes[bins[giver]]))
+                if found is None:
+                    break
+                size, amount, taker, free = found
+                takers.remove(taker, free)
+                _exchange(bins, sizes, giver, taker, size, amount)
+                fill[giver] -= size - amount
+                fill[taker] += size - amount
+                if fill[taker] < capacity:
+                    takers.add(taker, capacity - fill[taker])
+                steps += 1
+            if fill[giver] == capacity - room:  # still a taker for others as full as it
+                takers.add(giver, room)
+        for b in list(takers.by_room[room]):
+            takers.remove(b, room)
+    return steps
+
+
+def _exchange(bins: list[list[int]], sizes: np.ndarray, giver: int, taker: int, size: int, amount: int) -> None:
+    """A piece of ``size`` goes to ``taker``; none, one or two of its pieces with ``amount`` together come back."""
+    given = next(x for x in bins[giver] if sizes[x] == size)
+    back: list[int] = []
+    if amount:
+        back = [x for x in bins[taker] if sizes[x] == amount][:1]
+        seen: dict[int, int] = {}
+        for x in bins[taker] if not back else ():
+            if amount - int(sizes[x]) in seen:
+                back = [seen[amount - int(sizes[x])], x]
+                break
+            seen[int(sizes[x])] = x
+    bins[giver] = [x for x in bins[giver] if x != given] + back
+    bins[taker] = [x for x in bins[taker] if x not in back] + [given]
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:

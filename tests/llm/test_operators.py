@@ -81,6 +81,22 @@ def test_packing(docs):
     assert sum(filled.values()) == sum(len(encode(t or "")) + 1 for t in texts)
 
 
+def test_packing_searches_all_bins():
+    """Sizes near 1/2 and 1/4 of a bin leave hundreds of bins open: no step may be left, and few bins beyond the least possible."""
+    rng = np.random.default_rng(1)
+    sizes = np.concatenate([rng.integers(int(0.88 * c), int(1.12 * c), 500) for c in (1024, 512)])
+    first = packing.best_fit(sizes, 2048)
+    bins = packing.improve(first, sizes, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(1000))
+    fill = [int(sizes[b].sum()) for b in bins]
+    assert max(fill) <= 2048 and len(bins) <= 1.01 * sizes.sum() / 2048 < len(first)
+    back = [{0, *(int(sizes[i]) for i in b), *(int(sizes[i] + sizes[j]) for i in b for j in b if i < j)} for b in bins]
+    for g, giver in enumerate(bins):
+        for t in range(len(bins)):
+            if t != g and fill[g] <= fill[t] < 2048:
+                assert not any(0 < sizes[i] - p <= 2048 - fill[t] for i in giver for p in back[t])
+
+
 def test_encoder_matches_tokenizers():
     import public_tokenizers
     from tokenizers import Tokenizer
