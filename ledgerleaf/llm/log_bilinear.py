@@ -1,13 +1,15 @@
 """Language-model scores by a log-bilinear model trained with noise-contrastive estimation.
 
-Tokens are states: the ``SHORTLIST`` most frequent ones each have one, all others share ``CLASSES`` states by the hash of
-their last two bytes. From the vectors of the two states before it, weighted by position, the model predicts a vector
-that is compared with the target vector of every state; the softmax over all states is computed in full, by batched
-matrix products over the distinct contexts of a batch. Within a class a token has its add-one share of the training
-counts, with one place for unknown tokens, so probabilities of tokens add up to one.
+Tokens are states: each of the ``HEAD`` most frequent ones that occur ``LEAST`` times has one, all others share
+``CLASSES`` states by the hash of their last two bytes. From the vectors of the two states before it, weighted by
+position, the model predicts a vector. States of like frequency form groups, about as many as a group has states: the
+probability of a state is a softmax over the groups' vectors times a softmax over the target vectors of its group, both
+computed in full. Within a class a token has its add-one share of the training counts, with one place for unknown
+tokens, so probabilities of tokens add up to one.
 
 Counts are of the whole training part. Training passes over all of it in rounds: every task improves the broadcast model
-on its documents, against noise drawn from the state frequencies, and the tasks' parameters are averaged by tokens seen.
+on its documents, against noise drawn from the frequencies of all states (and of groups, for their vectors), and each
+vector is averaged over the tasks that changed it, by how often they did.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm.common import texts_of
 from ledgerleaf.store import materialize
 
-SHORTLIST, CLASSES, WIDTH = 192, 64, 16
-STATES = SHORTLIST + CLASSES
-BEGIN = STATES  # the state before a text
+CLASSES, WIDTH = 64, 16
 #: Frequent words (of at most 64 bytes) whose counts every task holds; counts of all others are joined.
 HEAD = 150_000
+#: Occurrences from which a frequent word has vectors of its own; the others train the classes that unknown words have.
+LEAST = 3
 ROUNDS, BATCH, NOISE, RATE = 2, 4096, 32, 0.1
+#: Rows of the model that tasks send together.
+CHUNK = 512
 
 
 def held_out() -> Column:
@@ -69,7 +73,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """State and count of the frequent tokens, totals of the classes, and N and V of all tokens."""
+    """State and count of the frequent tokens, totals of the classes, and N and V of all tokens. Classes follow the own states."""
 
     place: dict[bytes, int]
     state: np.ndarray
@@ -78,6 +82,7 @@ class Vocabulary:
     frequency: np.ndarray  # of the states
     total: int
     distinct: int
+    own: int  # tokens with a state of their own
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(state of each token, its place among the frequent ones or -1, the tokens that have none)."""
@@ -86,7 +91,7 @@ class Vocabulary:
         states = self.state[at]
         missing = np.flatnonzero(at < 0)
         rare = [words[i] for i in missing.tolist()]
-        states[missing] = np.fromiter(map(tail_class, rare), np.int64, len(rare)) + SHORTLIST
+        states[missing] = np.fromiter(map(tail_class, rare), np.int64, len(rare)) + self.own
         return states, at, rare
 
 
@@ -100,67 +105,80 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     head["token"] = [bytes(w) for w in head["token"]]
     head = head.sort_values(["n", "token"], ascending=[False, True], ignore_index=True)
     words = list(head["token"])
-    state = np.where(np.arange(len(words)) < SHORTLIST, np.arange(len(words)), head["class"].to_numpy(np.int64) + SHORTLIST)
+    own = int((head["n"] >= LEAST).sum())
+    state = np.where(np.arange(len(words)) < own, np.arange(len(words)), head["class"].to_numpy(np.int64) + own)
     count = head["n"].to_numpy(np.int64)
     sums = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas().set_index("class")
     n, v = (sums[c].reindex(range(CLASSES), fill_value=0).to_numpy(np.int64).copy() for c in ("n", "v"))
-    top = head[:SHORTLIST]
+    top = head[:own]
     np.subtract.at(n, top["class"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
     np.subtract.at(v, top["class"].to_numpy(np.int64), 1)
-    frequency = np.concatenate((np.pad(count[:SHORTLIST], (0, SHORTLIST - min(SHORTLIST, len(count)))), n)) + 0.5
-    return Vocabulary({w: i for i, w in enumerate(words)}, np.append(state, 0), np.append(count, 0), n + v + 1.0, frequency / frequency.sum(), total, distinct)
+    frequency = np.concatenate((count[:own], n)) + 0.5
+    return Vocabulary({w: i for i, w in enumerate(words)}, np.append(state, 0), np.append(count, 0), n + v + 1.0, frequency / frequency.sum(), total, distinct, own)
 
 
-@dataclass
 class Model:
-    context: np.ndarray  # vectors of the states (and of the begin) as context
-    weight: np.ndarray  # weight of each component, by distance
-    target: np.ndarray
-    bias: np.ndarray
+    """One table: vectors of the states (and of the begin) as context, of the states as target, of the groups, and the
+    weight of each component by distance. The last column is the bias of targets and groups."""
+
+    def __init__(self, states: int, table: np.ndarray | None = None) -> None:
+        self.states = states
+        self.size = int(np.ceil(np.sqrt(states)))  # states in a group
+        self.groups = -(-states // self.size)
+        self.begin = states
+        self.at_target, self.at_group = states + 1, 2 * states + 1
+        self.at_weight = self.at_group + self.groups
+        self.table = np.zeros((self.at_weight + 2, WIDTH + 1), np.float32) if table is None else table
 
     @classmethod
     def initial(cls, frequency: np.ndarray) -> Model:
-        rng = np.random.default_rng(7)
-        draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return cls(draw(STATES + 1, WIDTH), np.ones((2, WIDTH), np.float32), draw(STATES, WIDTH), np.log(frequency).astype(np.float32))
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.context, self.weight, self.target, self.bias]
+        model = cls(len(frequency))
+        model.table[: model.at_weight, :WIDTH] = np.random.default_rng(7).normal(0, 0.1, (model.at_weight, WIDTH))
+        model.table[model.at_weight :, :WIDTH] = 1
+        model.table[model.at_target : model.at_group, WIDTH] = np.log(frequency)
+        model.table[model.at_group : model.at_weight, WIDTH] = np.log(model.by_group(frequency))
+        return model
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
-
-    def like(self, flat: np.ndarray) -> Model:
-        cuts = np.cumsum([p.size for p in self.parts()])[:-1]
-        return Model(*[x.reshape(p.shape).astype(np.float32) for x, p in zip(np.split(flat, cuts), self.parts(), strict=True)])
+    def by_group(self, frequency: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(frequency, np.arange(0, self.states, self.size))
 
     def predicted(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-        return self.context[near] * self.weight[0] + self.context[far] * self.weight[1]
+        weight = self.table[self.at_weight :, :WIDTH]
+        return self.table[near, :WIDTH] * weight[0] + self.table[far, :WIDTH] * weight[1]
 
     def log_probabilities(self, near: np.ndarray, far: np.ndarray, states: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each state after its context; normalised over all states."""
-        context, which = np.unique(near * (STATES + 1) + far, return_inverse=True)
-        order = np.argsort(which, kind="stable")
+        guess, group = self.predicted(near, far), states // self.size
         out = np.empty(len(states), np.float64)
-        for start in range(0, len(context), 4096):
-            block = context[start : start + 4096]
-            scores = self.predicted(block // (STATES + 1), block % (STATES + 1)) @ self.target.T + self.bias
-            high = scores.max(axis=1, keepdims=True)
-            norm = high[:, 0] + np.log(np.exp(scores - high).sum(axis=1, dtype=np.float64))
-            lo, hi = np.searchsorted(which, (start, start + 4096), sorter=order)
-            rows = order[lo:hi]
-            out[rows] = scores[which[rows] - start, states[rows]] - norm[which[rows] - start]
+        heads = self.table[self.at_group : self.at_weight]
+        for start in range(0, len(states), 4096):
+            part = slice(start, start + 4096)
+            out[part] = _log_softmax(guess[part], heads, group[part])
+        order = np.argsort(group, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else ():
+            first = int(group[rows[0]]) * self.size
+            members = self.table[self.at_target + first : self.at_target + min(first + self.size, self.states)]
+            for start in range(0, len(rows), 4096):
+                some = rows[start : start + 4096]
+                out[some] += _log_softmax(guess[some], members, states[some] - first)
         return out
 
 
-def contexts(states: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _log_softmax(guess: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    scores = guess @ vectors[:, :WIDTH].T + vectors[:, WIDTH]
+    scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(at)), at].astype(np.float64)
+    return own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+
+
+def contexts(states: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
     """The states one and two tokens before each; ``starts`` are the places of first tokens."""
     near, far = np.empty_like(states), np.empty_like(states)
     near[1:], far[2:] = states[:-1], states[:-2]
-    near[starts] = BEGIN
-    far[starts] = BEGIN
+    near[starts] = begin
+    far[starts] = begin
     second = starts + 1
-    far[second[second < len(states)]] = BEGIN
+    far[second[second < len(states)]] = begin
     return near, far
 
 
@@ -168,44 +186,55 @@ class Trainer:
     """Noise-contrastive estimation with adaptive steps, in batches that share their noise."""
 
     def __init__(self, model: Model, frequency: np.ndarray, seed: int) -> None:
-        self.model, self.rng, self.seen = model, np.random.default_rng(seed), 0
-        self.cdf, self.noise_log = np.cumsum(frequency), np.log(NOISE * frequency).astype(np.float32)
-        self.square = [np.full(p.shape, 1e-2, np.float32) for p in model.parts()]
+        self.model, self.rng = model, np.random.default_rng(seed)
+        # First row, cumulated and logarithmic noise frequency of the states and of the groups.
+        self.kinds = [(at, np.cumsum(f), np.log(NOISE * f).astype(np.float32)) for at, f in ((model.at_target, frequency), (model.at_group, model.by_group(frequency)))]
+        self.square = np.ones_like(model.table)
+        self.touched = np.zeros(len(model.table))
 
     def learn(self, near: np.ndarray, far: np.ndarray, states: np.ndarray) -> None:
         order = self.rng.permutation(len(states))
         for start in range(0, len(order), BATCH):
             i = order[start : start + BATCH]
             self._step(near[i], far[i], states[i])
-        self.seen += len(states)
 
     def _step(self, near: np.ndarray, far: np.ndarray, states: np.ndarray) -> None:
         m = self.model
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE)), STATES - 1)
-        guess, vectors, others = m.predicted(near, far), m.target[states], m.target[noise]
-        right = _sigmoid((guess * vectors).sum(1) + m.bias[states] - self.noise_log[states]) - 1
-        wrong = _sigmoid(guess @ others.T + m.bias[noise] - self.noise_log[noise])
-        d_guess = right[:, None] * vectors + wrong @ others
-        d_target = _summed(states, right[:, None] * guess, STATES)
-        np.add.at(d_target, noise, wrong.T @ guess)
-        d_bias = np.bincount(states, right, STATES)
-        np.add.at(d_bias, noise, wrong.sum(0))
-        d_context = _summed(near, d_guess * m.weight[0], STATES + 1) + _summed(far, d_guess * m.weight[1], STATES + 1)
-        d_weight = np.stack([(d_guess * m.context[near]).sum(0), (d_guess * m.context[far]).sum(0)])
-        for part, gradient, square in zip(m.parts(), (d_context, d_weight, d_target, d_bias), self.square, strict=True):
-            gradient = (gradient / len(states)).astype(np.float32)
-            square += gradient * gradient
-            part -= RATE * gradient / np.sqrt(square)
+        guess = m.predicted(near, far)
+        d_guess, rows, gradients = np.zeros_like(guess), [], []
+        for (at, cdf, noise_log), right_ones in zip(self.kinds, (states, states // m.size), strict=True):
+            noise = np.minimum(np.searchsorted(cdf, self.rng.random(NOISE)), len(cdf) - 1)
+            own, others = m.table[at + right_ones], m.table[at + noise]
+            right = _sigmoid((guess * own[:, :WIDTH]).sum(1) + own[:, WIDTH] - noise_log[right_ones]) - 1
+            wrong = _sigmoid(guess @ others[:, :WIDTH].T + others[:, WIDTH] - noise_log[noise])
+            d_guess += right[:, None] * own[:, :WIDTH] + wrong @ others[:, :WIDTH]
+            rows += [at + right_ones, at + noise]
+            gradients += [np.column_stack((right[:, None] * guess, right)), np.column_stack((wrong.T @ guess, wrong.sum(0)))]
+        weight = m.table[m.at_weight :, :WIDTH].copy()
+        for k, before in enumerate((near, far)):
+            rows += [before, np.array([m.at_weight + k])]
+            gradients += [_wide(d_guess * weight[k]), _wide((d_guess * m.table[before, :WIDTH]).sum(0, keepdims=True))]
+        at = np.concatenate(rows)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        gradient = np.add.reduceat(np.concatenate(gradients)[order], first, axis=0).astype(np.float32)
+        changed = at[first]
+        square = self.square[changed] + gradient * gradient
+        self.square[changed] = square
+        m.table[changed] -= RATE * gradient / np.sqrt(square)
+        self.touched[changed] += np.diff(np.append(first, len(at)))
+
+
+def _wide(vectors: np.ndarray) -> np.ndarray:
+    """Vectors with a bias of 0."""
+    return np.pad(vectors, ((0, 0), (0, 1)))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _summed(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(index, rows[:, k], size) for k in range(rows.shape[1])], axis=1)
-
-
 def _blocks(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
     block, size = [], 0
     for text in texts:
@@ -225,31 +254,53 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
     shared = context.broadcast(vocab)
     turn = F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        start = model
+        start = context.broadcast(model)
 
-        def improved(batches: Iterator[pa.RecordBatch], start: Model = start) -> Iterator[pa.RecordBatch]:
+        def improved(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            known = shared.value
-            trainer = Trainer(start.like(start.flat()), known.frequency, TaskContext.get().partitionId())
+            known, trainer = shared.value, None
             for batch in batches:
                 for block in _blocks(texts_of(batch)):
+                    if trainer is None:
+                        model = Model(start.value.states, start.value.table.copy())
+                        trainer = Trainer(model, known.frequency, TaskContext.get().partitionId())
                     split = [tokens(t) for t in block]
                     states, _, _ = known.read([w for words in split for w in words])
                     starts = np.concatenate(([0], np.cumsum([len(w) for w in split])[:-1])).astype(np.int64)
-                    trainer.learn(*contexts(states, starts), states)
-            if trainer.seen:
-                flat = trainer.model.flat().astype(np.float64)
-                yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat)), "v": flat * trainer.seen, "w": np.full(len(flat), float(trainer.seen))})
-
-        made = docs.filter(turn == k).select("text").mapInArrow(improved, "i long, v double, w double")
-        # As many rows as there are parameters.
-        mean = made.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas().sort_values("i")
-        if len(mean):
-            model = model.like(mean["v"].to_numpy())
+                    trainer.learn(*contexts(states, starts, model.begin), states)
+            if trainer is not None:
+                rows = np.flatnonzero(trainer.touched)
+                for some in np.split(rows, np.flatnonzero(np.diff(rows // CHUNK)) + 1):
+                    yield _rows(int(some[0]) // CHUNK, some, trainer.touched[some], model.table[some])
+
+        made = docs.filter(turn == k).select("text").mapInArrow(improved, _ROWS)
+        # As many bytes as the model has.
+        for at, vectors in made.groupBy("chunk").applyInArrow(_averaged, _ROWS).select("at", "vectors").toPandas().itertuples(index=False):
+            model.table[np.frombuffer(at, np.int64)] = np.frombuffer(vectors, np.float32).reshape(-1, WIDTH + 1)
     return model
 
 
+_ROWS = "chunk long, at binary, touched binary, vectors binary"
+
+
+def _rows(chunk: int, at: np.ndarray, touched: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+    blobs = (at.astype(np.int64), touched.astype(np.float64), vectors.astype(np.float32))
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names=["chunk", "at", "touched", "vectors"])
+
+
+def _averaged(table: pa.Table) -> pa.Table:
+    """Rows of a chunk, averaged over tasks by how often each has changed a row."""
+    total, touched = np.zeros((CHUNK, WIDTH + 1)), np.zeros(CHUNK)
+    chunk = table.column("chunk")[0].as_py()
+    for at, n, vectors in zip(*(table.column(c).to_pylist() for c in ("at", "touched", "vectors")), strict=True):
+        place, weight = np.frombuffer(at, np.int64) - chunk * CHUNK, np.frombuffer(n, np.float64)
+        total[place] += np.frombuffer(vectors, np.float32).reshape(-1, WIDTH + 1) * weight[:, None]
+        touched[place] += weight
+    place = np.flatnonzero(touched)
+    return pa.Table.from_batches([_rows(chunk, place + chunk * CHUNK, touched[place], total[place] / touched[place, None])])
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
@@ -268,7 +319,7 @@ def score(docs: DataFrame) -> DataFrame:
         known, model = shared.value
         row = TaskContext.get().partitionId() << 33
         log_count = np.log10(known.count + 1.0)
-        log_class = np.append(np.zeros(SHORTLIST), np.log10(known.class_total))
+        log_class = np.append(np.zeros(known.own), np.log10(known.class_total))
         for batch in batches:
             done = 0
             for block in _blocks(texts_of(batch)):
@@ -276,9 +327,9 @@ def score(docs: DataFrame) -> DataFrame:
                 sizes = np.array([len(w) for w in split])
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
                 states, at, rare = known.read([w for words in split for w in words])
-                model_log = model.log_probabilities(*contexts(states, starts), states) / np.log(10)
+                model_log = model.log_probabilities(*contexts(states, starts, model.begin), states) / np.log(10)
                 own = np.where(at < 0, 0, log_count[at])
-                in_class = np.where(states >= SHORTLIST, own - log_class[states], 0)
+                in_class = np.where(states >= known.own, own - log_class[states], 0)
                 missing = np.add.reduceat((at < 0).astype(np.int64), starts)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(missing))).astype(np.int32))
                 n = len(block)

@@ -185,6 +185,27 @@ def test_components_of_edges_that_change_when_computed_again(spark):
     assert {r.node: r.root for r in found} == {n: n - n % 3 for n in range(300)}
 
 
+def test_frequent_words_have_own_vectors(spark):
+    """600 words with the same last two bytes: the score of a word depends on which of them is before it, and all sum to one."""
+    from ledgerleaf.llm import log_bilinear
+
+    rng = np.random.default_rng(8)
+    words = [f"w{i}xy" for i in range(600)]
+    rows = [(i, " ".join(rng.choice(words, 300))) for i in range(40)]
+    asked = [(1000 + i, f"{words[i]} {words[0]}") for i in range(600)]
+    df = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    got = log_bilinear.score(df).filter("doc_id >= 1000").collect()
+    assert len({round(r.score, 6) for r in got}) > 500
+    counts = log_bilinear.token_counts(df)
+    vocab = log_bilinear.vocabulary(counts)
+    model = log_bilinear.train(df, vocab)
+    every = np.arange(len(vocab.frequency))
+    assert vocab.own == 601
+    for before in (0, 300, model.begin):
+        context = np.full(len(every), before)
+        assert abs(np.exp(model.log_probabilities(context, context, every)).sum() - 1) < 1e-5
+
+
 def test_scores_of_odd_texts(docs, labels):
     from ledgerleaf.llm import line_crf, log_bilinear
 
