@@ -14,9 +14,12 @@ GOOD = 0.7
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line model doesn't reject."""
+    """Documents that the line model doesn't reject. Without labels of both kinds there is no model, and all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = line_crf.with_score(docs, line_crf.train(docs, labels), "_line_score")
+    model = line_crf.train(docs, labels)
+    if not (model.weights.any() or model.pairs.any()):
+        return docs
+    scored = line_crf.with_score(docs, model, "_line_score")
     return scored.filter(F.col("_line_score") >= GOOD).drop("_line_score")
 
 

@@ -206,6 +206,15 @@ def test_frequent_words_have_own_vectors(spark):
         assert abs(np.exp(model.log_probabilities(context, context, every)).sum() - 1) < 1e-5
 
 
+@pytest.mark.parametrize("kept", ["false", "quality = 1"])
+def test_pipeline_keeps_all_without_a_model(spark, docs, labels, tmp_path, kept):
+    import corpus_pipeline
+
+    labels.filter(kept).write.parquet(str(tmp_path / "labels.parquet"))
+    good = corpus_pipeline.keep_good(spark, docs, str(tmp_path))
+    assert good.columns == docs.columns and good.count() == docs.count()
+
+
 def test_scores_of_odd_texts(docs, labels):
     from ledgerleaf.llm import line_crf, log_bilinear
 
