@@ -55,7 +55,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express the classifier; tests compare each stage with a brute-force version.
+#: SQL can't express the classifier. Tests compare the operators that the stages use; none runs all stages yet.
 ORACLE_SQL = None
 
 
