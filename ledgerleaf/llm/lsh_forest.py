@@ -1,8 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash with fixed banding, in place of an LSH forest.
 
-Every text becomes the set of its runs of five words and a MinHash signature. A forest of prefix tries sorts the
-signatures: tree t holds values t * DEPTH ... of each. Texts meet where their prefixes agree; the prefix is shortened
-from DEPTH until the chance that a pair at the threshold meets in no tree is below 1 - recall. Texts that meet are
+Every text becomes the set of its runs of five words and a MinHash signature. Tree t holds values t * DEPTH ... of each,
+and texts meet where their prefixes in a tree agree. No trie is sorted or descended: all texts have one prefix length,
+the longest at which the chance that a pair at the threshold meets in no tree is at most 1 - recall. That is 3 of the
+DEPTH values, so trees are 24 bands of 3 rows and the last two values serve the signature comparison only. Texts that meet are
 compared by signature, which splits them into clusters (joined by pairs whose signatures agree well below the
 threshold), and all pairs of a cluster are then verified exactly, block against block. Pairs never become rows: a block
 pair returns the number of links of each text and a spanning forest of them.
