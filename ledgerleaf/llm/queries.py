@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import line_crf, log_bilinear, lsh_forest, mixing, packing, phrase_automata, prefix_doubling, prefix_forest, quality_rules, sharding
+from ledgerleaf.llm import line_crf, log_bilinear, lsh_forest, merkle, mixing, packing, phrase_automata, prefix_doubling, prefix_forest, quality_rules, sharding
 from ledgerleaf.llm.common import documents
 
 
@@ -26,8 +26,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_crf": lambda s, d: line_crf.digest(documents(s, d), _labels(s, d)),
         "op9_prefix_forest": lambda s, d: prefix_forest.search(s.read.parquet(f"{d}/embeddings.parquet")),
         "op10_sharding": lambda s, d: sharding.digest(documents(s, d)),
+        "op11_merkle": lambda s, d: merkle.digest(documents(s, d)),
     }
 
 
 def llm_statements() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op3_mixing": mixing.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op3_mixing": mixing.SQL, "op11_merkle": merkle.SQL}

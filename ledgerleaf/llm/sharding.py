@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm.common import unit_hash
-from ledgerleaf.operators.ordered import rank_within
+from ledgerleaf.llm.ranks import rank_within
 from ledgerleaf.store import materialize
 
 SHARDS = 8
