@@ -70,8 +70,11 @@ def _climb(nodes: DataFrame, fan: int, levels: int) -> DataFrame:
     return out.select(*kept, path.alias("_path"))
 
 
-def _tree(nodes: DataFrame, most: int, fan: int, levels: int) -> DataFrame:
+def _tree(nodes: DataFrame, most: int, fan: int, most_of_block: int) -> DataFrame:
     """Adds _path from each node to the root of its _g, and _top, that root. ``most`` is the largest _n."""
+    levels = 1
+    while fan**levels < most and fan ** (levels + 1) <= most_of_block:
+        levels += 1
     block = fan**levels
     climbed = _climb(nodes, fan, levels)
     roots = climbed.filter(f"_pos % {block} = 0").select(
@@ -79,7 +82,7 @@ def _tree(nodes: DataFrame, most: int, fan: int, levels: int) -> DataFrame:
     )
     roots = materialize(roots, "merkle-roots")
     if most > block:
-        upper = _tree(roots, -(-most // block), fan, levels)
+        upper = _tree(roots, -(-most // block), fan, most_of_block)
     else:
         upper = roots.select("_g", "_pos", F.array().cast(_PATH).alias("_path"), F.col("_h").alias("_top"))
     upper = materialize(upper.select("_g", F.col("_pos").alias("_block"), F.col("_path").alias("_rest"), "_top"), "merkle-upper")
@@ -95,7 +98,6 @@ def manifest(leaves: DataFrame, group: str, order: list[str], leaf: str = "leaf"
     of their own; a group of one leaf has that leaf as its subroot; an empty table gives no rows. Other columns stay;
     columns named subroot, root or path are replaced.
     """
-    levels = max([1, *[k for k in range(block.bit_length()) if fan**k <= block]])
     kept = [c for c in leaves.columns if c not in ("subroot", "root", "path")]
     # One name for all columns of the caller, so that none clashes; equal rows get an order of their own.
     packed = leaves.select(
@@ -109,10 +111,10 @@ def manifest(leaves: DataFrame, group: str, order: list[str], leaf: str = "leaf"
     groups = materialize(rank_within(ranked.groupBy("_key").agg(F.max("_n").alias("_most")), [], ["_key"], "_g"), "merkle-groups")
     most, n_groups = groups.agg(F.max("_most"), F.count(F.lit(1))).first()
     nodes = ranked.join(groups.select(F.col("_key").alias("_of"), "_g"), F.col("_key").eqNullSafe(F.col("_of"))).drop("_of", "_key")
-    within = _tree(nodes, most or 0, fan, levels)
+    within = _tree(nodes, most or 0, fan, block)
     tops = materialize(within.filter("_pos = 0").select("_g", "_top"), "merkle-subroots")
     over = tops.select(F.lit(0).alias("_g"), F.col("_g").alias("_pos"), F.lit(n_groups).cast("long").alias("_n"), F.col("_top").alias("_h"))
-    over = _tree(over, n_groups, fan, levels).select(F.col("_pos").alias("_g"), F.col("_path").alias("_over"), F.col("_top").alias("_root"))
+    over = _tree(over, n_groups, fan, block).select(F.col("_pos").alias("_g"), F.col("_path").alias("_over"), F.col("_top").alias("_root"))
     joined = within.join(materialize(over, "merkle-over"), "_g")
     return joined.select(
         *[F.col(f"_row.`{c}`").alias(c) for c in kept], F.col("_top").alias("subroot"), F.col("_root").alias("root"),
