@@ -37,6 +37,20 @@ def unit_hash(seed: str, key: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+#: DuckDB SQL of a table with the 256 steps of a CRC-32, by a rule.
+CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))
+)"""
+
+
+def crc32_sql(value: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of an ASCII value's text, beside ``crc_table``."""
+    codes = f"list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    step = "lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {step}), 4294967295)"
+
+
 def texts_of(batch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a text column of an Arrow batch; null becomes empty."""
     import pyarrow as pa

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.common import CRC_TABLE, crc32_sql
 from ledgerleaf.llm.ranks import rank_within
 from ledgerleaf.store import materialize
 
@@ -148,17 +149,13 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-SQL = """
-WITH RECURSIVE tab AS (
-  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
-  FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))
-), d AS (
+SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, d AS (
   SELECT row_number() OVER () AS r, doc_id, lang,
     coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
     n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
-    coalesce(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
-      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 7 = 0, false) AS hit
-  FROM documents, tab
+    coalesce({crc32_sql("doc_id")} % 7 = 0, false) AS hit
+  FROM documents, crc_table
 ), l AS (
   SELECT r, doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
     CASE WHEN hit THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS forged FROM d
