@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import line_crf, log_bilinear, lsh_forest, merkle, mixing, packing, periodic_runs, phrase_automata, prefix_doubling, prefix_forest, quality_rules, sharding
+from ledgerleaf.llm import line_crf, log_bilinear, lsh_forest, merkle, mixing, packing, periodic_runs, phrase_automata, prefix_doubling, prefix_forest, quality_rules, sharding, warc
 from ledgerleaf.llm.common import documents
 
 
@@ -28,8 +28,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": lambda s, d: sharding.digest(documents(s, d)),
         "op11_merkle": lambda s, d: merkle.digest(documents(s, d)),
         "op12_periodic_runs": lambda s, d: periodic_runs.digest(documents(s, d)),
+        "op13_warc": lambda s, d: warc.digest(s.read.parquet(f"{d}/pages.parquet")),
     }
 
 
 def llm_statements() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op3_mixing": mixing.SQL, "op11_merkle": merkle.SQL, "op12_periodic_runs": periodic_runs.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op3_mixing": mixing.SQL, "op11_merkle": merkle.SQL, "op12_periodic_runs": periodic_runs.SQL, "op13_warc": warc.SQL}
