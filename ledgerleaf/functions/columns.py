@@ -14,10 +14,18 @@ MONEY_POSTING = "decimal(18,2)"
 # Spellings of "no text".
 NULL_SPELLINGS = ("", "nan", "None")
 
-# Accepted date layouts. The first list is read by every vote.
-ISO_DATES = ("yyyy-M-d[ H:m[:s]]", "yyyy-M-d'T'H:m[:s]", "yyyy/M/d[ H:m[:s]]")
-MONTH_FIRST_DATES = ("M/d/yyyy[ H:m[:s]]", "M-d-yyyy[ H:m[:s]]", "M.d.yyyy[ H:m[:s]]")
-DAY_FIRST_DATES = ("d/M/yyyy[ H:m[:s]]", "d-M-yyyy[ H:m[:s]]", "d.M.yyyy[ H:m[:s]]")
+# Accepted shapes of a date. Digits stand for themselves, so that the shape tells two years from four.
+_MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_CLOCK = r"(?:(?:[T ] *)\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?(?: *[ap]m)?(?: *(?:z|[+-]\d\d:?\d\d))?)?"
+DATE_SHAPES = {
+    "year first": rf"(?i)^\d{{4}}([-/.])\d{{1,2}}\1\d{{1,2}}{_CLOCK}$",
+    "numbers": rf"(?i)^\d{{1,2}}([-/.])\d{{1,2}}\1(?:\d{{4}}|\d\d){_CLOCK}$",
+    "day and name": rf"(?i)^\d{{1,2}}[ -/.]? *{_MONTH}[ -/.,]? *(?:\d{{4}}|\d\d){_CLOCK}$",
+    "name and day": rf"(?i)^{_MONTH}[ -/.]? *\d{{1,2}},? *[ -/.]?(?:\d{{4}}|\d\d){_CLOCK}$",
+    "one number": rf"(?i)^\d{{8}}{_CLOCK}$",
+}
+#: Two-digit years from here on are of the last century.
+CENTURY_PIVOT = 69
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
@@ -50,17 +58,71 @@ def amount_is_suspect(c: Column) -> Column:
     return unread | trimmed.rlike("[A-Za-z]") | trimmed.rlike(r",\d{1,2}\)?$") | trimmed.rlike(r"[0-9.]-")
 
 
-def parse_date(c: Column, layouts: tuple[str, ...]) -> Column:
-    text = text_or_null(c)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in layouts]).cast("timestamp_ntz")
-
-
-def parse_month_first(c: Column) -> Column:
-    return parse_date(c, ISO_DATES + MONTH_FIRST_DATES)
-
-
-def parse_day_first(c: Column) -> Column:
-    return parse_date(c, ISO_DATES + DAY_FIRST_DATES)
+def date_outline(c: Column) -> Column:
+    """A date text with 9 for each digit and a for each run of letters, for listings of what was not read."""
+    return F.regexp_replace(F.regexp_replace(text_or_null(c), "[0-9]", "9"), "[A-Za-z]+", "a")
+
+
+def _month_number(word: Column) -> Column:
+    first = F.lower(F.substring(word, 1, 3))
+    return F.floor((F.position(first, F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int")
+
+
+def with_dates(df: DataFrame, texts: dict[str, Column], day_first: bool = True) -> DataFrame:
+    """Add readings of date texts: for each name, name_month reads numbers month first and name_day (if wanted) day first.
+
+    A text is classified by its shape and cut into words once; the readings are arithmetic on those. They agree for
+    shapes that settle the order. Zones are dropped: the time is that on the writer's clock. What has no accepted shape,
+    or names no day, is null. Each step is a projection of its own, so that no regular expression runs twice.
+    """
+    kept, ids = df.columns, list(enumerate(texts))
+    of = lambda part, i: F.col(f"_{part}{i}")
+    number = lambda w: w.try_cast("int")
+
+    def shape_of(text: Column) -> Column:
+        found = None
+        for kind, pattern in DATE_SHAPES.items():
+            found = F.when(text.rlike(pattern), kind) if found is None else found.when(text.rlike(pattern), kind)
+        return found
+
+    df = df.withColumns({f"_text{i}": text_or_null(texts[name]) for i, name in ids})
+    df = df.withColumns({f"_shape{i}": shape_of(of("text", i)) for i, _ in ids})
+    split = r"[^0-9A-Za-z]+|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
+    df = df.withColumns({f"_words{i}": F.when(of("shape", i).isNotNull(), F.split(of("text", i), split, 4)) for i, _ in ids})
+    timed = lambda i: of("shape", i).isNotNull() & F.contains(of("text", i), F.lit(":"))
+    clock = r"\d{1,2}:[0-9:]+(?:\.\d{1,6})?"
+    df = df.withColumns({f"_clock{i}": F.when(timed(i), F.split(F.regexp_extract(of("text", i), clock, 0), ":")) for i, _ in ids})
+    parts, month_first, swapped = {}, {}, {}
+    for i, name in ids:
+        text, shape, clock = of("text", i), of("shape", i), of("clock", i)
+        word = lambda k, i=i: F.get(of("words", i), F.lit(k))
+        digits = lambda start, n, text=text: number(F.substring(text, start, n))
+        one, year_first = shape == "one number", shape == "year first"
+        day_name, name_day = shape == "day and name", shape == "name and day"
+        year_text = F.when(one, F.substring(text, 1, 4)).when(year_first, word(0)).otherwise(word(2))
+        century = F.when(F.length(year_text) > 2, 0).when(number(year_text) >= CENTURY_PIVOT, 1900).otherwise(2000)
+        hour, half = number(F.get(clock, F.lit(0))), F.lower(F.regexp_extract(text, r"(?i)\d *([ap])m", 1))
+        half_day = F.when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+        columns = {
+            "x": F.when(one, digits(5, 2)).when(year_first, number(word(1))).when(day_name, _month_number(word(1)))
+            .when(name_day, _month_number(word(0))).otherwise(number(word(0))),
+            "y": F.when(one, digits(7, 2)).when(year_first, number(word(2))).when(day_name, number(word(0))).otherwise(number(word(1))),
+            "year": number(year_text) + century,
+            "hour": F.when(clock.isNull(), 0).when(half == "", hour).otherwise(half_day),
+            "minute": F.when(clock.isNull(), 0).otherwise(number(F.get(clock, F.lit(1)))),
+            "second": F.coalesce(F.get(clock, F.lit(2)), F.lit("0")).cast("decimal(16,6)"),
+        }
+        parts |= {f"_{k}{i}": c for k, c in columns.items()}
+        rest = (of("hour", i), of("minute", i), of("second", i))
+        month_first[f"{name}_month"] = F.when(of("x", i) <= 12, F.try_make_timestamp_ntz(of("year", i), of("x", i), of("y", i), *rest))
+        # Only the order of numbers is open; a first number above 12 is no month.
+        other = F.when(of("y", i) <= 12, F.try_make_timestamp_ntz(of("year", i), of("y", i), of("x", i), *rest))
+        swapped[f"{name}_day"] = F.when(shape == "numbers", other).otherwise(F.col(f"{name}_month"))
+    df = df.withColumns(parts).withColumns(month_first)
+    readings = list(month_first)
+    if day_first:
+        df, readings = df.withColumns(swapped), [*readings, *swapped]
+    return df.select(*kept, *readings)
 
 
 def floor_days(later: Column, earlier: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf import dims
-from ledgerleaf.functions.columns import parse_month_first, text_or_null, year_month
+from ledgerleaf.functions.columns import text_or_null, with_dates, year_month
 from ledgerleaf.settings import CarbonSettings
 from ledgerleaf.store import materialize
 
@@ -36,11 +36,12 @@ def _number(c: str, kind: str) -> Column:
 def clean_fact(df: DataFrame) -> DataFrame:
     """Typed facts from text: ids, scope spelling, numbers, score and method."""
     full = complete_schema(df)
-    types = dict(full.dtypes)
+    columns, timed = full.columns, dict(full.dtypes)["Date"].startswith("timestamp")
+    full = full if timed else with_dates(full, {"_at": F.col("Date").cast("string")}, day_first=False)
     given = F.nanvl(_number("DataQualityScore", "double"), F.lit(None).cast("double"))
     score = F.least(F.greatest(F.coalesce(given, F.lit(3.0)), F.lit(1.0)), F.lit(5.0))
     out = {
-        "Date": F.col("Date") if types["Date"].startswith("timestamp") else parse_month_first(F.col("Date")),
+        "Date": F.col("Date") if timed else F.col("_at_month"),
         "CategoryID": F.regexp_replace(text_or_null(F.col("CategoryID")), r"^(\d+)\.0$", "$1"),
         "Scope": F.regexp_replace(F.trim("Scope"), r"(?i)^scope\s*", "Scope "),
         "Quantity": F.coalesce(_number("Quantity", QUANTITY), F.lit(0).cast(QUANTITY)),
@@ -51,7 +52,7 @@ def clean_fact(df: DataFrame) -> DataFrame:
         "DataQualityScore": score.cast("int"),
         "Method": F.coalesce("Method", F.lit("Unspecified")),
     }
-    return full.withColumns(out).withColumns({"Year": F.year("Date"), "YearMonth": year_month(F.col("Date"))})
+    return full.withColumns(out).select(*columns).withColumns({"Year": F.year("Date"), "YearMonth": year_month(F.col("Date"))})
 
 
 def tonnes(quantity: Column, factor: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf import dims
-from ledgerleaf.functions.columns import parse_month_first, text_or_null
+from ledgerleaf.functions.columns import text_or_null, with_dates
 from ledgerleaf.operators.carbon.fact import EMISSION, FACTOR, QUANTITY, complete_schema, tonnes
 
 PROBE_LENGTH = 12
@@ -95,8 +95,8 @@ def activity_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
         return text_or_null(F.col(mapping[field])) if mapping.get(field) else F.lit(None).cast("string")
 
     mapped = {v for v in mapping.values() if v}
-    return df.select(
-        parse_month_first(F.col(mapping["Date"])).alias("Date"),
+    return with_dates(df, {"_at": F.col(mapping["Date"])}, day_first=False).select(
+        F.col("_at_month").alias("Date"),
         (text("Site") if mapping.get("Site") else F.lit("Site")).alias("SiteID"),
         text("Scope").alias("Scope"),
         text("Category").alias("CategoryID"),

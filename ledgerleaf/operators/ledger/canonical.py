@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions.columns import MONEY_LINE, amount_is_suspect, parse_amount, parse_day_first, parse_month_first, text_or_null
-from ledgerleaf.operators.ordered import forward_fill, running_total
+from ledgerleaf.functions.columns import MONEY_LINE, amount_is_suspect, date_outline, parse_amount, text_or_null, with_dates
+from ledgerleaf.operators.ordered import CHUNK, ROWS_PER_CHUNK, forward_fill, running_total
 from ledgerleaf.store import materialize
 
 FIELDS = (
@@ -20,17 +20,24 @@ TEXT_FIELDS = ("PostingID", "AccountNo", "AccountName", "UserID", "Counterparty"
 def complete_fields(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in FIELDS]
-    return df.select("SourceFile", "LineNo", *cols, *(["Amount"] if "Amount" in have else []))
+    return df.select("SourceFile", "LineNo", *cols, *[c for c in ("Amount", "Signed") if c in have])
 
 
-def parse_amounts(df: DataFrame, signed: bool = False) -> DataFrame:
-    """Debit and credit from two columns or from one signed amount."""
-    if signed:
-        amount, zero = parse_amount(F.col("Amount")), F.lit(0).cast(MONEY_LINE)
-        sides = {"Debit": F.greatest(amount, zero), "Credit": F.greatest((-amount).cast(MONEY_LINE), zero)}
+def parse_amounts(df: DataFrame, signed: bool | None = None) -> DataFrame:
+    """Debit and credit from two columns or from one signed amount.
+
+    ``signed`` says which for all rows. Without it the column ``Signed``, a property of each file, does; without that
+    column the sides count.
+    """
+    if signed is None and "Signed" in df.columns:
+        by_file = F.coalesce(F.col("Signed"), F.lit(False))
     else:
-        sides = {c: parse_amount(F.col(c)) for c in ("Debit", "Credit")}
-    return df.withColumns(sides)
+        by_file = F.lit(bool(signed))
+    if "Amount" not in df.columns:
+        df = df.withColumn("Amount", F.lit(None).cast("string"))
+    amount, zero = parse_amount(F.col("Amount")), F.lit(0).cast(MONEY_LINE)
+    of_amount = {"Debit": F.greatest(amount, zero), "Credit": F.greatest((-amount).cast(MONEY_LINE), zero)}
+    return df.withColumns({c: F.when(by_file, of_amount[c]).otherwise(parse_amount(F.col(c))) for c in of_amount}).drop("Signed")
 
 
 def suspect_amounts(df: DataFrame) -> DataFrame:
@@ -50,26 +57,63 @@ def is_noise(account: Column) -> Column:
     return (account.isNull() & no_amount) | F.coalesce(F.lower(account).startswith("total"), F.lit(False))
 
 
-def file_profile(df: DataFrame) -> DataFrame:
-    """Per file: date votes, whole-column gates for account and id. One pass, one row per file, written to know its size."""
-    votes = [
-        (F.count(parse_day_first(F.col(c))) > F.count(parse_month_first(F.col(c)))).alias(f"_day_first_{c}") for c in DATE_FIELDS
-    ]
-    no_name, no_number = F.count("AccountName") == 0, F.count("AccountNo") == 0
-    kept = lambda account: F.count_if(F.col("PostingID").isNotNull() & ~is_noise(F.col(account)))
-    profile = df.groupBy("SourceFile").agg(
-        *votes,
-        no_name.alias("_no_name"),
-        no_number.alias("_no_number"),
-        (F.when(no_name, kept("AccountNo")).otherwise(kept("AccountName")) == 0).alias("_no_ids"),
+def typed_rows(df: DataFrame, signed: bool | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Amounts, texts and both readings of each date, written once; everything later reads this table."""
+    clean = normalise_text(parse_amounts(complete_fields(df), signed))
+    dated = with_dates(clean, {c: F.col(c) for c in DATE_FIELDS}).drop(*DATE_FIELDS, "Amount")
+    return materialize(dated.withColumn(CHUNK, F.expr(f"LineNo div {rows_per_chunk}")), "journal-rows")
+
+
+def file_profile(typed: DataFrame) -> DataFrame:
+    """One row for each block of lines of a file: date votes and gates of the whole file, and the id carried into the block.
+
+    One pass over the typed rows. Whether the account name or the number tells noise depends on a gate, so ids are
+    counted and kept for both.
+    """
+    found: dict[str, Column] = {f"_n_{c}_{name}": F.count(f"{c}_{name}") for c in DATE_FIELDS for name in ("month", "day")}
+    found |= {"_names": F.count("AccountName"), "_numbers": F.count("AccountNo")}
+    for account in ("AccountName", "AccountNo"):
+        kept, has = ~is_noise(F.col(account)), F.col("PostingID").isNotNull()
+        found[f"_ids_{account}"] = F.count_if(kept & has)
+        found[f"_gaps_{account}"] = F.count_if(kept & ~has)
+        found[f"_last_{account}"] = F.max(F.when(kept & has, F.struct("LineNo", "PostingID")))["PostingID"]
+    blocks = typed.groupBy("SourceFile", CHUNK).agg(*[c.alias(name) for name, c in found.items()])
+    of_file = Window.partitionBy("SourceFile")
+    before = of_file.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.sum(c).over(of_file)
+    no_name = total("_names") == 0
+    gated = lambda c: F.when(F.col("_no_name"), F.col(f"{c}_AccountNo")).otherwise(F.col(f"{c}_AccountName"))
+    blocks = blocks.withColumn("_no_name", no_name)
+    profile = blocks.select(
+        "SourceFile", CHUNK, "_no_name", (total("_numbers") == 0).alias("_no_number"),
+        *[(total(f"_n_{c}_day") > total(f"_n_{c}_month")).alias(f"_day_first_{c}") for c in DATE_FIELDS],
+        (total(gated("_ids")) == 0).alias("_no_ids"), (total(gated("_gaps")) > 0).alias("_gaps"),
+        F.last(gated("_last"), ignorenulls=True).over(before).alias("_carry"),
     )
     return materialize(profile, "journal-profile")
 
 
+def read_dates(profiled: DataFrame) -> DataFrame:
+    """Each date column of a file is read day-first only if that reads strictly more values."""
+    return profiled.withColumns(
+        {c: F.when(F.col(f"_day_first_{c}"), F.col(f"{c}_day")).otherwise(F.col(f"{c}_month")) for c in DATE_FIELDS}
+    )
+
+
 def parse_dates(df: DataFrame) -> DataFrame:
-    """Each date column of a file is read day-first only if that parses strictly more values."""
-    parsed = {c: F.when(F.col(f"_day_first_{c}"), parse_day_first(F.col(c))).otherwise(parse_month_first(F.col(c))) for c in DATE_FIELDS}
-    return df.withColumns(parsed)
+    """SourceFile, LineNo and the date columns of untidy rows as times."""
+    typed = typed_rows(df)
+    return read_dates(typed.join(file_profile(typed), ["SourceFile", CHUNK])).select("SourceFile", "LineNo", *DATE_FIELDS)
+
+
+def unread_dates(df: DataFrame) -> DataFrame:
+    """Date texts that name no day in either order, by file, field and outline (9 for a digit, a for letters)."""
+    fields = F.array(*[F.struct(F.lit(c).alias("Field"), F.col(c).alias("Text")) for c in DATE_FIELDS])
+    texts = with_dates(complete_fields(df).select("SourceFile", F.inline(fields)), {"_at": F.col("Text")})
+    unread = F.col("_at_month").isNull() & F.col("_at_day").isNull() & text_or_null(F.col("Text")).isNotNull()
+    return texts.filter(unread).groupBy("SourceFile", "Field", date_outline(F.col("Text")).alias("Outline")).agg(
+        F.count(F.lit(1)).alias("Lines"), F.min("Text").alias("Example")
+    )
 
 
 def fill_accounts(df: DataFrame) -> DataFrame:
@@ -87,9 +131,12 @@ def synthetic_id() -> Column:
 
 
 def fill_ids(df: DataFrame) -> DataFrame:
-    """Synthetic ids in files without any, then the last id carried down the rows of each file."""
+    """Synthetic ids in files without any, else the last id carried down; only files with gaps are ordered for that."""
     named = df.withColumn("PostingID", F.when(F.col("_no_ids"), synthetic_id()).otherwise(F.col("PostingID")))
-    return forward_fill(named, "SourceFile", "LineNo", ["PostingID"])
+    gaps = F.col("_gaps") & ~F.col("_no_ids")
+    within = Window.partitionBy("SourceFile", CHUNK).orderBy("LineNo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = named.filter(gaps).withColumn("PostingID", F.coalesce(F.last("PostingID", ignorenulls=True).over(within), F.col("_carry")))
+    return named.filter(~gaps).unionByName(filled)
 
 
 def first_appearance_ids(lines: DataFrame) -> DataFrame:
@@ -106,11 +153,14 @@ def first_appearance_ids(lines: DataFrame) -> DataFrame:
     )
 
 
-def to_canonical(df: DataFrame, signed: bool = False) -> DataFrame:
-    """Canonical lines with SourceFile and LineNo. Order them with ``struct(SourceFile, LineNo)``."""
-    clean = normalise_text(parse_amounts(complete_fields(df), signed))
-    profiled = clean.join(file_profile(clean), "SourceFile")
-    kept = fill_accounts(parse_dates(profiled)).filter(~is_noise(F.col("AccountName")))
+def to_canonical(df: DataFrame, signed: bool | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Canonical lines with SourceFile and LineNo. Order them with ``struct(SourceFile, LineNo)``.
+
+    ``df`` is computed once. ``signed`` is as in ``parse_amounts``.
+    """
+    typed = typed_rows(df, signed, rows_per_chunk)
+    profiled = read_dates(typed.join(file_profile(typed), ["SourceFile", CHUNK]))
+    kept = fill_accounts(profiled).filter(~is_noise(F.col("AccountName")))
     return fill_ids(kept).select("SourceFile", "LineNo", *FIELDS)
 
 
@@ -118,7 +168,7 @@ def unroll_report(df: DataFrame, ffill_num: bool = True) -> DataFrame:
     """Report-style journal (header fields only on an entry's first line) to mapped text rows.
 
     Input text columns: Date, TransactionType, Num, Name, Memo, Account, Debit, Credit. An entry with a blank number
-    inherits the previous one unless ``ffill_num`` is off.
+    inherits the previous one unless ``ffill_num`` is off. The input is computed once; one ordered pass fills all fields.
     """
     has_account = F.coalesce(~F.trim("Account").isin("", "nan"), F.lit(False)).alias("_has_account")
     blank = lambda c: F.when(~F.col(c).isin("", "nan"), F.col(c)).alias(c)
@@ -126,15 +176,12 @@ def unroll_report(df: DataFrame, ffill_num: bool = True) -> DataFrame:
     texts = df.select(
         "SourceFile", "LineNo", has_account, *[blank(c) for c in ("Date", "TransactionType", "Name", "Num")], "Memo", "Account", "Debit", "Credit"
     )
-    rows = forward_fill(texts, "SourceFile", "LineNo", heads).filter("_has_account")
-    day_votes = materialize(
-        rows.groupBy("SourceFile").agg((F.count(parse_day_first(F.col("Date"))) > F.count(parse_month_first(F.col("Date")))).alias("_day_first")),
-        "report-votes",
-    )
-    rows = rows.join(day_votes, "SourceFile")
-    day = F.when(F.col("_day_first"), parse_day_first(F.col("Date"))).otherwise(parse_month_first(F.col("Date")))
+    rows = forward_fill(materialize(texts, "report-texts"), "SourceFile", "LineNo", heads).filter("_has_account").drop("_has_account")
+    rows = materialize(with_dates(rows, {"": F.col("Date")}), "report-rows")
+    votes = materialize(rows.groupBy("SourceFile").agg((F.count("_day") > F.count("_month")).alias("_day_first")), "report-votes")
+    day = F.when(F.col("_day_first"), F.col("_day")).otherwise(F.col("_month"))
     number = F.coalesce(text_or_null(F.col("Num")), F.date_format(F.to_date(day), "yyyy-MM-dd"))
-    return rows.select(
+    return rows.join(votes, "SourceFile").select(
         "SourceFile", "LineNo", F.concat(F.trim("TransactionType"), F.lit(" "), number).alias("PostingID"), F.col("Date").alias("PostingDate"),
         F.col("Account").alias("AccountName"), "Debit", "Credit", F.col("Name").alias("Counterparty"), F.col("Memo").alias("LineText"),
     )

@@ -48,22 +48,6 @@ def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """Number the rows of each key from 0 in ``order``; rows that tie are numbered in any order.
-
-    Without keys the whole table is numbered. A hot key is spread over chunks like any other rows.
-    """
-    chunked = chunk_by_range(df, keys, order)
-    counts = chunked.groupBy(CHUNK, *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each chunk and key in it.
-    carry = materialize(counts.withColumn("_carry", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "carry")
-    within = Window.partitionBy(CHUNK, *keys).orderBy(*order)
-    ranked = chunked.withColumn("_rank", F.row_number().over(within))
-    joined = ranked.join(carry, same_key(ranked, carry, [CHUNK, *keys]), "inner")
-    return joined.select(*[ranked[c] for c in df.columns], (F.col("_rank") - 1 + F.col("_carry")).alias(name))
-
-
 def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """Running sum of ``value`` over the whole table in ``order``; the order must be unique."""
     df = materialize(df, "rows")

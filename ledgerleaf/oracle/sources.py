@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from ledgerleaf import untidy
 from ledgerleaf.oracle import carbon
-from ledgerleaf.oracle.ledger import LINES, accounts, money, values_cte
+from ledgerleaf.oracle.ledger import LINES, POSTINGS, accounts, money, values_cte
 
 KEYED = (
     LINES
     + """,
-keyed AS (SELECT *, LineNo // 32 AS k, LineNo % 4 AS pos, (LineNo // 32) % 6 AS kind,
+keyed AS (SELECT * REPLACE (CASE WHEN LineNo // 32 % 500 NOT IN (3, 4) THEN DocumentDate END AS DocumentDate), LineNo // 32 AS k, LineNo % 4 AS pos, (LineNo // 32) % 6 AS kind,
   'kind' || ((LineNo // 32) % 6) || '-' || lpad(CAST(LineNo // 32 // 4000 AS VARCHAR), 5, '0') AS SourceFile FROM lines),
 files AS (SELECT DISTINCT SourceFile, kind FROM keyed),
 canon AS (SELECT SourceFile, LineNo, kind,
@@ -37,6 +37,29 @@ _MAPPED = [
 ]
 
 
+#: Lines of the journal files with the fields each kind holds, numbered as the records of a file.
+_TITLES = "CASE kind " + " ".join(f"WHEN {k} THEN {n}" for k, n in enumerate(untidy.JOURNAL_TITLES)) + " END"
+
+
+def _held(field: str, value: str) -> str:
+    kinds = [str(k) for k, columns in enumerate(untidy.JOURNAL_FILES) if field in [f for _, f in columns]]
+    return f"CASE WHEN kind IN ({', '.join(kinds)}) THEN {value} END AS {field}"
+
+
+FILE_LINES = (
+    KEYED.replace("\nlines AS (", "\nbase AS (").replace("FROM lines)", "FROM base)")
+    + f""",
+records AS (SELECT *, {_TITLES} + row_number() OVER (PARTITION BY SourceFile ORDER BY LineNo) AS Record, LineNo % 4 < 3 AS real
+  FROM (SELECT * FROM keyed UNION ALL SELECT * REPLACE (LineNo + 3 AS LineNo) FROM keyed WHERE pos = 0 AND kind IN (1, 5))),
+lines AS (SELECT SourceFile, Record AS LineNo,
+  CASE WHEN kind = 2 THEN 'E-' || coalesce(strftime(PostingDate, '%Y%m%d'), 'nodate') || '-' || coalesce(Counterparty, '') ELSE PostingID END AS PostingID,
+  PostingDate, {_held("DocumentDate", "CAST(CAST(DocumentDate AS DATE) AS TIMESTAMP)")}, {_held("EnteredDateTime", "EnteredDateTime")},
+  CASE WHEN kind IN (1, 2, 5) THEN AccountName ELSE AccountNo END AS AccountNo, CASE WHEN kind = 4 THEN AccountNo ELSE AccountName END AS AccountName,
+  CASE WHEN kind = 4 THEN greatest(dr - cr, 0) ELSE dr END AS dr, CASE WHEN kind = 4 THEN greatest(cr - dr, 0) ELSE cr END AS cr,
+  {_held("UserID", "UserID")}, {_held("Counterparty", "Counterparty")}, {_held("RefPostingID", "RefPostingID")} FROM records WHERE real)"""
+)
+
+
 def c(select: str, *more: str) -> str:
     return "WITH " + ", ".join([KEYED, *more]) + "\n" + select
 
@@ -49,15 +72,28 @@ def statements() -> dict[str, str]:
     gaps = values_cte(
         "gaps", "kind, m, mode",
         [(4, "Debit / Credit", "split"), (5, "PostingDate", "split"), (5, "AccountName", "split"), (5, "Debit / Credit", "split")]
-        + [(k, "Amount", "signed") for k in (0, 1, 2, 3, 5)] + [(5, "PostingDate", "signed"), (5, "AccountName", "signed")]
+        + [(5, f, "by file") for f in ("PostingDate", "AccountName", "Debit / Credit")] + [(k, "Amount", "signed") for k in (0, 1, 2, 3, 5)] + [(5, "PostingDate", "signed"), (5, "AccountName", "signed")]
         + [(k, f, "activity") for k in (0, 1, 2, 3) for f in ("Scope", "ActivityType", "Quantity")]
         + [(4, "Scope", "activity")] + [(5, f, "activity") for f in ("Date", "Scope", "ActivityType", "Quantity")],
     )
     return {
-        "src_exports": c("""SELECT SourceFile, CASE WHEN kind IN (2, 3) THEN ';' ELSE ',' END AS Separator,
-            CAST(CASE WHEN kind = 5 THEN 0 ELSE 3 END AS BIGINT) AS HeaderLine, count(*) + CASE WHEN kind = 5 THEN 3 ELSE 0 END AS Rows,
-            count(AccountNo) + CASE WHEN kind = 5 THEN 1 ELSE 0 END AS FifthCells FROM keyed GROUP BY SourceFile, kind"""),
-        "src_header_rows": c("SELECT SourceFile, CAST(CASE WHEN kind = 5 THEN 0 ELSE 3 END AS BIGINT) AS HeaderLine FROM files"),
+        "src_exports": c(
+            """SELECT SourceFile, titles + 1 + n AS LineNo, sep AS Separator, concat_ws('|', PostingID, d1, d2, d3, coalesce(AccountNo, ''), nm, d, e) AS Record FROM data
+            UNION ALL SELECT SourceFile, titles, sep, head FROM files JOIN exportheads USING (kind)
+            UNION ALL SELECT SourceFile, i - 1, sep, CASE WHEN i = 2 THEN 'Journal|Date' WHEN i % 10 = 0 THEN 'Report 12" wide, page ' || i ELSE 'Acme ' || i END
+              FROM files JOIN exportheads USING (kind), range(1, 41) t(i) WHERE i <= titles""",
+            values_cte(
+                "exportheads", "kind, titles, sep, head",
+                [(k, untidy.TITLE_ROWS[k], ";" if k in (2, 3) else ",", "|".join(h)) for k, h in enumerate(untidy.HEADINGS)],
+            ),
+            """data AS (SELECT f.SourceFile, f.kind, titles, sep, l.PostingID, l.AccountNo, coalesce(CAST(l.PostingDate AS VARCHAR), '') AS d1,
+              coalesce(CAST(l.DocumentDate AS VARCHAR), '') AS d2, coalesce(CAST(l.EnteredDateTime AS VARCHAR), '') AS d3,
+              row_number() OVER (PARTITION BY f.SourceFile ORDER BY l.LineNo) - 1 AS n,
+              coalesce(l.AccountName || CASE WHEN f.kind = 4 AND f.k % 7 = 0 THEN chr(10) || '("second", line)' WHEN f.kind = 2 AND f.k % 5 = 0 THEN ' 12" x' ELSE '' END, '') AS nm,
+              (l.dr // 100) || '.' || lpad(CAST(l.dr % 100 AS VARCHAR), 2, '0') || '00' AS d, (l.cr // 100) || '.' || lpad(CAST(l.cr % 100 AS VARCHAR), 2, '0') || '00' AS e
+              FROM lines l JOIN keyed f ON l.LineNo = f.LineNo JOIN exportheads h ON h.kind = f.kind)""",
+        ),
+        "src_header_rows": c("SELECT SourceFile, CAST(CASE kind WHEN 5 THEN 0 WHEN 3 THEN 40 ELSE 3 END AS BIGINT) AS HeaderLine FROM files"),
         "src_layout": c("SELECT SourceFile, CASE WHEN kind IN (0, 3) THEN 'canonical' WHEN kind = 1 THEN 'qbo' ELSE 'unknown' END AS LedgerLayout, 'activity' AS CarbonLayout FROM files"),
         "src_column_map": c("SELECT SourceFile, field AS Field, pos AS Position, h AS Heading, dom AS Domain FROM files JOIN mapped USING (kind) JOIN kindheads USING (kind, pos)", mapped, _HEADINGS),
         "src_mapping_gaps": c("SELECT SourceFile, m AS Missing, mode AS Mode FROM files JOIN gaps USING (kind)", gaps),
@@ -83,5 +119,12 @@ def statements() -> dict[str, str]:
               last_value(CASE WHEN pos = 0 THEN Counterparty END IGNORE NULLS) OVER w AS cp
               FROM keyed WINDOW w AS (PARTITION BY SourceFile ORDER BY LineNo ROWS UNBOUNDED PRECEDING))""",
         ),
-        "gl_amount_suspects": c("SELECT SourceFile, CAST(0 AS BIGINT) AS DebitSuspects, CAST(0 AS BIGINT) AS CreditSuspects FROM files"),
+        "gl_amount_suspects": c("SELECT SourceFile, count(*) FILTER (WHERE k % 10 IN (1, 2, 3, 4)) AS DebitSuspects, count(*) FILTER (WHERE k % 10 = 6) AS CreditSuspects FROM keyed GROUP BY 1"),
+        "gl_unread_dates": c(f"""SELECT SourceFile, 'DocumentDate' AS Field, CASE WHEN k % 500 = 3 THEN 'a9 9999' ELSE '99/99/9999' END AS Outline, count(*) AS Lines,
+            CASE WHEN k % 500 = 3 THEN '{untidy.NO_DATE}' ELSE '{untidy.NO_DAY}' END AS Example FROM keyed WHERE k % 500 IN (3, 4) GROUP BY ALL"""),
+        "gl_lines_from_files": f"""WITH {FILE_LINES} SELECT {line}, PostingID, PostingDate, DocumentDate, EnteredDateTime, AccountNo, AccountName, {amounts}, UserID, Counterparty,
+            RefPostingID, CAST(NULL AS VARCHAR) AS LineText FROM lines""",
+        "gl_postings_from_files": f"""WITH {FILE_LINES}, {accounts()}, {POSTINGS} SELECT PostingID, PostingType, PostingDate, DocumentDate, EnteredDateTime, Counterparty, LineCount,
+            {money('dr', 'Debits')}, {money('cr', 'Credits')}, imb = 0 AS IsBalanced, LagDays FROM postings""",
+        "ghg_facts_from_files": carbon.statements()["ghg_activity_to_fact"],
     }

@@ -70,7 +70,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _fact_view(df: DataFrame, *extra: str) -> DataFrame:
+def fact_view(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(
         "Date", "SiteID", "Scope", "CategoryID", "ActivityType", F.col("Quantity").cast("double").alias("Quantity"), "FactorID",
         F.col("EmissionFactor").cast("double").alias("EmissionFactor"), "Method", "DataQualityScore", *extra,
@@ -87,7 +87,7 @@ def _emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fact_view(facts_of.clean_fact(fixtures.raw_facts(spark, sf_dir)), "YearMonth", "SourceFile")
+    return fact_view(facts_of.clean_fact(fixtures.raw_facts(spark, sf_dir)), "YearMonth", "SourceFile")
 
 
 def _resolved(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
@@ -227,8 +227,8 @@ def carbon_queries() -> dict[str, Query]:
         "ghg_unmatched": lambda spark, sf_dir: factors.unmatched_activities(
             factors.resolve_factors(activity(spark, sf_dir), dims.factors(spark))
         ),
-        "ghg_activity_to_fact": lambda spark, sf_dir: _fact_view(converted(spark, sf_dir)),
-        "ghg_activity_to_fact_supplied": lambda spark, sf_dir: _fact_view(converted(spark, sf_dir, supplied=True)),
+        "ghg_activity_to_fact": lambda spark, sf_dir: fact_view(converted(spark, sf_dir)),
+        "ghg_activity_to_fact_supplied": lambda spark, sf_dir: fact_view(converted(spark, sf_dir, supplied=True)),
         "ghg_reprice": _repriced,
         "ghg_site_table": _site_table,
         "ghg_target_years": _target_years,

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerleaf import dims, fixtures, untidy
 from ledgerleaf.functions.columns import decimals_as_double, text_or_null
+from ledgerleaf.operators.carbon import factors
 from ledgerleaf.operators.ledger import canonical
 from ledgerleaf.operators.ledger.postings import roll_up
-from ledgerleaf.plans.carbon_queries import inventory, sites
+from ledgerleaf.plans.carbon_queries import fact_view, inventory, sites
 from ledgerleaf.plans.ledger_book import LedgerBook
 from ledgerleaf.settings import LedgerSettings
 from ledgerleaf.sources import bundles, exports
@@ -20,19 +21,54 @@ from ledgerleaf.store import materialize, new_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the exports, scan them back, and profile each file."""
+def _named(df: DataFrame) -> DataFrame:
+    """Files by the name of their source instead of their path."""
+    return df.withColumn("SourceFile", F.regexp_extract("SourceFile", "SourceFile=([^/]+)/", 1))
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the exports and scan them back."""
     folder = new_path(spark, "exports")
     untidy.write_exports(spark, sf_dir, folder)
-    cells = exports.scan_exports(spark, folder)
-    rows = exports.data_rows(cells, exports.headings(cells))
-    return rows.groupBy(
-        F.regexp_extract("SourceFile", "SourceFile=([^/]+)/", 1).alias("SourceFile"), "Separator", "HeaderLine"
-    ).agg(F.count(F.lit(1)).alias("Rows"), F.count(F.get("Cells", F.lit(4))).alias("FifthCells"))
+    return exports.scan_exports(spark, folder)
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the exports with its cells."""
+    cells = F.array_join(F.transform("Cells", lambda c: F.coalesce(c, F.lit(""))), "|")
+    return _named(_scan(spark, sf_dir)).select("SourceFile", "LineNo", "Separator", cells.alias("Record"))
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.headings(untidy.export_cells(spark, sf_dir))
+    return _named(exports.headings(_scan(spark, sf_dir)))
+
+
+def _journal_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical lines of journal files, from the scan on: headings, mapping, the side of amounts by file."""
+    folder = new_path(spark, "journal-files")
+    untidy.write_journal_files(spark, sf_dir, folder)
+    cells = exports.scan_exports(spark, folder)
+    heads = exports.headings(cells)
+    return _named(canonical.to_canonical(exports.mapped_rows(exports.data_rows(cells, heads), exports.column_map(heads))))
+
+
+def _postings_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = materialize(_journal_of_files(spark, sf_dir), "file-lines")
+    book = LedgerBook(lines, dims.chart(spark), cfg=LedgerSettings(line_order="struct(SourceFile, LineNo)"))
+    return book.postings_plan.select(
+        "PostingID", "PostingType", "PostingDate", "DocumentDate", "EnteredDateTime", "Counterparty", "LineCount", "Debits", "Credits", "IsBalanced", "LagDays"
+    )
+
+
+def _facts_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emission facts of activity files, from the scan on."""
+    folder = new_path(spark, "activity-files")
+    untidy.write_activity_files(spark, sf_dir, folder)
+    cells = exports.scan_exports(spark, folder)
+    heads = exports.headings(cells)
+    rows = exports.mapped_activity(exports.data_rows(cells, heads), exports.activity_map(heads))
+    mapping = {f: f for f in exports.ACTIVITY_WORDS}
+    return fact_view(factors.activity_to_fact(factors.activity_columns(rows, mapping), dims.factors(spark)))
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +76,9 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, carbon = exports.column_map(heads), exports.activity_map(heads)
     mode = lambda df, name: df.withColumn("Mode", F.lit(name))
     return (
-        mode(exports.mapping_gaps(heads, ledger), "split")
+        mode(exports.mapping_gaps(heads, ledger, signed=False), "split")
         .unionByName(mode(exports.mapping_gaps(heads, ledger, signed=True), "signed"))
+        .unionByName(mode(exports.mapping_gaps(heads, ledger), "by file"))
         .unionByName(mode(exports.mapping_gaps(heads, carbon, carbon=True), "activity"))
     )
 
@@ -53,10 +90,7 @@ def _column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = canonical.complete_fields(untidy.untidy_journal(spark, sf_dir))
-    clean = canonical.normalise_text(canonical.parse_amounts(raw))
-    parsed = canonical.parse_dates(clean.join(canonical.file_profile(clean), "SourceFile"))
-    return parsed.select("SourceFile", "LineNo", *canonical.DATE_FIELDS)
+    return canonical.parse_dates(untidy.untidy_journal(spark, sf_dir))
 
 
 def _parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +177,7 @@ def _dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "src_exports": _exports,
-        "src_header_rows": lambda spark, sf_dir: exports.header_rows(untidy.export_cells(spark, sf_dir)),
+        "src_header_rows": lambda spark, sf_dir: _named(exports.header_rows(_scan(spark, sf_dir))),
         "src_layout": lambda spark, sf_dir: exports.layouts(_heads(spark, sf_dir)),
         "src_column_map": _column_map,
         "src_mapping_gaps": _gaps,
@@ -159,6 +193,10 @@ def source_queries() -> dict[str, Query]:
         "gl_synthetic_ids": _synthetic,
         "gl_ffill_ids": _ffill,
         "gl_report_unroll": _unroll,
-        "gl_amount_suspects": lambda spark, sf_dir: canonical.suspect_amounts(untidy.untidy_journal(spark, sf_dir)),
+        "gl_amount_suspects": lambda spark, sf_dir: canonical.suspect_amounts(untidy.suspect_rows(spark, sf_dir)),
+        "gl_unread_dates": lambda spark, sf_dir: canonical.unread_dates(untidy.untidy_journal(spark, sf_dir)),
+        "gl_lines_from_files": _journal_of_files,
+        "gl_postings_from_files": _postings_of_files,
+        "ghg_facts_from_files": _facts_of_files,
     }
     return {name: (lambda q: lambda spark, sf_dir: decimals_as_double(q(spark, sf_dir)))(q) for name, q in out.items()}

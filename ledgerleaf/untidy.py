@@ -1,14 +1,20 @@
-"""Untidy exports derived from the journal: six kinds of files, a few thousand entries in each file."""
+"""Untidy exports derived from the journal and the activity rows: six kinds of files, a few thousand entries in each."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerleaf.fixtures import journal_lines
+from ledgerleaf.fixtures import activity_rows, journal_lines
 
 ENTRIES_PER_FILE = 4000
-TITLE_ROWS = 3
+#: Title rows above the headings, by kind.
+TITLE_ROWS = (3, 3, 3, 40, 3, 3)
+#: Every so many entries the document date is no date, or no day.
+NO_DATE, NO_DAY = "Q1 1995", "31/02/1995"
+BROKEN_EVERY = 500
 
 # Headings by kind; kind 5 has too few known headings to be found.
 HEADINGS = (
@@ -38,10 +44,23 @@ def _amount(c: str) -> Column:
 
 
 def _day(c: str, null: str) -> Column:
-    kind = F.col("kind")
-    pattern = lambda p: F.date_format(F.to_date(c), p)
-    text = F.when(kind == 0, pattern("MM/dd/yyyy")).when(kind == 1, pattern("dd/MM/yyyy")).otherwise(pattern("yyyy-MM-dd"))
-    return F.coalesce(text, F.lit(null))
+    layouts = ("MM/dd/yyyy", "dd/MM/yyyy", "d MMM yyyy", "MMM d, yyyy", "MM/dd/yy", "yyyyMMdd")
+    return F.coalesce(_by_kind(layouts, lambda p: F.date_format(F.to_date(c), p)), F.lit(null))
+
+
+def _entered() -> Column:
+    layouts = (
+        "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "M/d/yyyy h:mm a", "yyyy-MM-dd HH:mm:ss.SSS", "d-MMM-yy HH:mm", "yyyy-MM-dd'T'HH:mm:ss'+02:00'",
+    )
+    return F.coalesce(_by_kind(layouts, lambda p: F.date_format("EnteredDateTime", p)), F.lit(""))
+
+
+def _by_kind(values: tuple, of: Callable[[object], Column]) -> Column:
+    out = None
+    for kind, value in enumerate(values):
+        chosen = F.col("kind") == kind
+        out = F.when(chosen, of(value)) if out is None else out.when(chosen, of(value))
+    return out
 
 
 def untidy_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +73,8 @@ def untidy_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SourceFile", "LineNo",
         F.when(kind == 2, None).when((kind == 3) & (pos > 0), "").otherwise(F.concat(F.lit(" "), "PostingID", F.lit(" "))).alias("PostingID"),
         _day("PostingDate", "nan").alias("PostingDate"),
-        _day("DocumentDate", "None").alias("DocumentDate"),
-        F.coalesce(F.date_format("EnteredDateTime", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("EnteredDateTime"),
+        F.when(F.col("k") % BROKEN_EVERY == 3, NO_DATE).when(F.col("k") % BROKEN_EVERY == 4, NO_DAY).otherwise(_day("DocumentDate", "None")).alias("DocumentDate"),
+        _entered().alias("EnteredDateTime"),
         F.when(kind != 5, F.col("AccountNo")).alias("AccountNo"),
         F.when(kind != 4, F.col("AccountName")).alias("AccountName"),
         _amount("Debit").alias("Debit"), _amount("Credit").alias("Credit"),
@@ -98,45 +117,113 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(totals)
 
 
-def _cells(*cols: Column) -> Column:
-    return F.array(*[c.cast("string") for c in cols])
+def suspect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amount texts whose meaning a parser may change, by the last digit of the entry: comma decimals, a trailing minus,
+    a currency, more digits than money has; credits with a comma in brackets."""
+    d, c, digit = F.col("Debit").cast("decimal(18,2)").cast("string"), F.col("Credit").cast("decimal(18,2)").cast("string"), F.col("k") % 10
+    comma = F.replace(d, F.lit("."), F.lit(","))
+    debit = F.when(digit == 1, comma).when(digit == 2, F.concat(d, F.lit("-"))).when(digit == 3, F.concat(F.lit("USD "), d))
+    debit = debit.when(digit == 4, F.concat(F.lit("9" * 25), d)).when(digit == 5, F.concat(F.lit("-"), d)).otherwise(d)
+    credit = F.when(digit == 6, F.concat(F.lit("("), F.replace(c, F.lit("."), F.lit(",")), F.lit(")"))).otherwise(F.concat(F.lit("$ "), c))
+    return _key(spark, sf_dir).select("SourceFile", "LineNo", debit.alias("Debit"), credit.alias("Credit"))
 
 
-def export_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scanned cells: three title rows and a heading row above the data of each file."""
-    lines = _key(spark, sf_dir)
-    kind = F.col("kind")
-    data = lines.select(
-        "SourceFile", (F.col("LineNo") + TITLE_ROWS + 1).alias("LineNo"),
-        _cells(*[F.col(c) for c in ("PostingID", "PostingDate", "DocumentDate", "EnteredDateTime", "AccountNo", "AccountName", "Debit", "Credit")]).alias("Cells"),
-    )
-    files = lines.select("SourceFile", "kind").distinct()
-    heading = None
-    for i, names in enumerate(HEADINGS):
-        cells = _cells(*[F.lit(n) for n in names])
-        heading = F.when(kind == i, cells) if heading is None else heading.when(kind == i, cells)
-    titles = files.select(
-        "SourceFile", F.posexplode(F.array(_cells(F.lit("Acme Ltd")), _cells(F.lit("Journal"), F.lit("Date")), _cells(F.lit("All dates")), heading)).alias("n", "Cells")
-    ).select("SourceFile", F.col("n").cast("bigint").alias("LineNo"), "Cells")
-    return data.unionByName(titles)
+def _line(cells: list[Column], sep: Column) -> Column:
+    """Delimited text of cells: those with a separator or a line break are quoted, others stand as they are."""
 
+    def written(c: Column) -> Column:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        needed = F.contains(text, sep) | F.contains(text, F.lit("\n"))
+        return F.when(needed, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-def write_exports(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """The cells as delimited text, one file per source: semicolons in kinds 2 and 3, a byte-order mark in kind 0, a
-    quoted line break in kind 4. Files are bounded by the entries per file, so each is written by one task."""
-    kind = F.substring("SourceFile", 5, 1)
-    sep = F.when(kind.isin("2", "3"), ";").otherwise(",")
-    quoted = F.transform("Cells", lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"')))
-    text = F.array_join(quoted, "|")
-    line = F.replace(text, F.lit("|"), sep)
-    line = F.when((kind == "0") & (F.col("LineNo") == 0), F.concat(F.lit("﻿"), line)).otherwise(line)
-    line = F.when((kind == "4") & (F.col("LineNo") == 2), F.lit('"All dates\nand times"')).otherwise(line)
+    parts = [written(cells[0])]
+    for c in cells[1:]:
+        parts += [sep, written(c)]
+    return F.concat(*parts)
+
+
+def _write(rows: DataFrame, folder: str) -> None:
+    """SourceFile, LineNo and value as one file for each source; files are bounded by their entries."""
     (
-        export_cells(spark, sf_dir)
-        .select("SourceFile", "LineNo", line.alias("value"))
-        .repartition("SourceFile")
-        .sortWithinPartitions("SourceFile", "LineNo")
-        .select("SourceFile", "value")
-        .write.partitionBy("SourceFile")
-        .text(folder)
-    )
+        rows.repartition("SourceFile").sortWithinPartitions("SourceFile", "LineNo").select("SourceFile", "value")
+        .write.partitionBy("SourceFile").text(folder)
+    )
+
+
+def _separator() -> Column:
+    return F.when(F.col("kind").isin(2, 3), ";").otherwise(",")
+
+
+def _heads(files: DataFrame, headings: tuple, titles: tuple) -> DataFrame:
+    """Title rows, every tenth of them blank, and the headings, numbered before all data; a byte-order mark in kind 0."""
+    title = F.transform(
+        F.sequence(F.lit(1), _by_kind(titles, F.lit)),
+        lambda i: F.struct((i - 1000).cast("long").alias("LineNo"), F.when(i == 2, F.concat(F.lit("Journal"), F.col("sep"), F.lit("Date")))
+                           .when(i % 10 == 0, F.concat(F.lit("  \nReport 12\" wide, page "), i.cast("string"))).otherwise(F.concat(F.lit("Acme "), i.cast("string"))).alias("value")),
+    )
+    rows = F.when(_by_kind(titles, F.lit) > 0, title).otherwise(F.filter(title, lambda _: F.lit(False)))
+    names = F.array_join(_by_kind(headings, lambda h: F.array(*map(F.lit, h))), "|")
+    head = F.struct(F.lit(-1).cast("long").alias("LineNo"), F.replace(names, F.lit("|"), F.col("sep")).alias("value"))
+    lines = files.withColumn("sep", _separator()).select("SourceFile", "kind", F.explode(F.concat(rows, F.array(head))).alias("r")).select("SourceFile", "kind", "r.*")
+    first = F.row_number().over(Window.partitionBy("SourceFile").orderBy("LineNo")) == 1
+    return lines.select("SourceFile", "LineNo", F.when((F.col("kind") == 0) & first, F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value")).alias("value"))
+
+
+def write_exports(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The first eight fields of the lines under headings of six kinds. Kind 1 has blank lines between its entries, kind 2
+    inch marks, kind 4 line breaks within cells."""
+    lines = _key(spark, sf_dir)
+    kind, k = F.col("kind"), F.col("k")
+    account = F.when((kind == 4) & (k % 7 == 0), F.concat("AccountName", F.lit('\n("second", line)'))).when(
+        (kind == 2) & (k % 5 == 0), F.concat("AccountName", F.lit(' 12" x'))
+    ).otherwise(F.col("AccountName"))
+    cells = [F.col(c) for c in ("PostingID", "PostingDate", "DocumentDate", "EnteredDateTime", "AccountNo")] + [account, F.col("Debit"), F.col("Credit")]
+    text = _line(cells, _separator())
+    text = F.when((kind == 1) & (F.col("pos") == 0), F.concat(F.lit("   \n"), text)).otherwise(text)
+    rows = lines.select("SourceFile", "LineNo", text.alias("value"))
+    _write(rows.unionByName(_heads(lines.select("SourceFile", "kind").distinct(), HEADINGS, TITLE_ROWS)), folder)
+
+
+# Headings of journal files with the fields they hold, by kind. Kind 2 has no ids, kind 4 one signed amount; kinds 2, 4 and
+# 5 have too few known headings to be found below titles.
+JOURNAL_FILES = (
+    (("PostingID", "PostingID"), ("PostingDate", "PostingDate"), ("Document date", "DocumentDate"), ("EnteredDateTime", "EnteredDateTime"), ("Account number", "AccountNo"),
+     ("AccountName", "AccountName"), ("Debit", "Debit"), ("Credit", "Credit"), ("User", "UserID"), ("Counterparty", "Counterparty"), ("Applied to", "RefPostingID")),
+    (("Num", "PostingID"), ("Date", "PostingDate"), ("Account", "AccountName"), ("Debit", "Debit"), ("Credit", "Credit"), ("Name", "Counterparty"),
+     ("Created at", "EnteredDateTime"), ("Prepared by", "UserID")),
+    (("Date", "PostingDate"), ("GL account name", "AccountName"), ("Debit amount", "Debit"), ("Credit amount", "Credit"), ("Customer", "Counterparty")),
+    (("Entry No", "PostingID"), ("Date", "PostingDate"), ("AccountNo", "AccountNo"), ("Account name", "AccountName"), ("Credit", "Credit"), ("Debit", "Debit"),
+     ("Payee", "Counterparty"), ("Entry time", "EnteredDateTime")),
+    (("Voucher", "PostingID"), ("GL date", "PostingDate"), ("Account code", "AccountNo"), ("Amount", "Amount"), ("Preparer", "UserID")),
+    (("Journal ID", "PostingID"), ("TxnDate", "PostingDate"), ("Ledger account", "AccountName"), ("Dr", "Debit"), ("Cr", "Credit"), ("Supplier", "Counterparty"),
+     ("Cleared against", "RefPostingID"), ("Doc date", "DocumentDate")),
+)
+JOURNAL_TITLES = (3, 2, 0, 40, 0, 0)
+
+
+def write_journal_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The untidy journal as files of six layouts."""
+    rows = untidy_journal(spark, sf_dir).withColumn("kind", F.substring("SourceFile", 5, 1).cast("int")).withColumn("sep", _separator())
+    text = _by_kind(JOURNAL_FILES, lambda columns: _line([F.col(field) for _, field in columns], F.col("sep")))
+    files = rows.select("SourceFile", "kind").distinct()
+    heads = _heads(files, tuple(tuple(h for h, _ in columns) for columns in JOURNAL_FILES), JOURNAL_TITLES)
+    _write(rows.select("SourceFile", "LineNo", text.alias("value")).unionByName(heads), folder)
+
+
+# Headings of activity files with the columns they hold, by kind.
+ACTIVITY_FILES = (
+    (("Month", "Date"), ("Facility name", "Site"), ("Scope", "Scope"), ("Category", "Category"), ("Activity", "Activity"), ("Consumption", "Quantity"), ("Unit", "Unit")),
+    (("Quantity", "Quantity"), ("Units", "Unit"), ("Fuel or source", "Activity"), ("GHG scope", "Scope"), ("Subcategory", "Category"), ("Plant", "Site"), ("Period", "Date")),
+)
+
+
+def write_activity_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The activity rows as files of two layouts, one for each site; the second kind has semicolons."""
+    kind = F.length("Site") % 2
+    # One file for each site: what a site reports, month by month.
+    rows = activity_rows(spark, sf_dir).withColumns({"kind": kind, "sep": F.when(kind == 1, ";").otherwise(",")})
+    source = F.concat(F.lit("activity-"), F.md5("Site"))
+    text = _by_kind(ACTIVITY_FILES, lambda columns: _line([F.col(c) for _, c in columns], F.col("sep")))
+    head = _by_kind(ACTIVITY_FILES, lambda columns: _line([F.lit(h) for h, _ in columns], F.col("sep")))
+    data = rows.select(source.alias("SourceFile"), F.lit(1).cast("long").alias("LineNo"), text.alias("value"))
+    _write(data.unionByName(rows.select(source.alias("SourceFile"), F.lit(0).cast("long").alias("LineNo"), head.alias("value")).distinct()), folder)
