@@ -88,7 +88,9 @@ def with_dates(df: DataFrame, texts: dict[str, Column], day_first: bool = True)
     df = df.withColumns({f"_text{i}": text_or_null(texts[name]) for i, name in ids})
     df = df.withColumns({f"_shape{i}": shape_of(of("text", i)) for i, _ in ids})
     split = r"[^0-9A-Za-z]+|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"
-    df = df.withColumns({f"_words{i}": F.when(of("shape", i).isNotNull(), F.split(of("text", i), split, 4)) for i, _ in ids})
+    # A higher-order function ends a span of generated code, which would outgrow one method with all steps in it.
+    words = lambda i: F.filter(F.split(of("text", i), split, 4), lambda w: w != "")
+    df = df.withColumns({f"_words{i}": F.when(of("shape", i).isNotNull(), words(i)) for i, _ in ids})
     timed = lambda i: of("shape", i).isNotNull() & F.contains(of("text", i), F.lit(":"))
     clock = r"\d{1,2}:[0-9:]+(?:\.\d{1,6})?"
     df = df.withColumns({f"_clock{i}": F.when(timed(i), F.split(F.regexp_extract(of("text", i), clock, 0), ":")) for i, _ in ids})

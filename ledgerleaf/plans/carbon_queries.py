@@ -157,7 +157,7 @@ def _target_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundles.clean_target_years(raw)
 
 
-# (facts, slice of the facts) -> report; ``once`` reports read the slice a single time and stay one lazy plan.
+# (facts, slice of the facts) -> report; ``once`` reports read the slice a single time and stay one lazy plan, the others read its totals.
 ONCE: dict[str, Callable[[DataFrame], DataFrame]] = {
     "ghg_scope_year": lambda s: reports.scope_year(s, CFG),
     "ghg_month_scope": lambda s: reports.month_scope(s, CFG),
@@ -200,7 +200,7 @@ def _once(build: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _shared(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        fact = materialize(inventory(spark, sf_dir), "inventory")
+        fact = materialize(facts_of.slice_totals(inventory(spark, sf_dir)), "inventory-totals")
         return build(fact, facts_of.slice_fact(fact, CFG))
 
     return run
@@ -208,7 +208,7 @@ def _shared(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 def _driven(build: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        fact = materialize(inventory(spark, sf_dir), "inventory")
+        fact = materialize(facts_of.slice_totals(inventory(spark, sf_dir)), "inventory-totals")
         return build(fact, facts_of.slice_fact(fact, CFG), drivers(spark, sf_dir))
 
     return run
