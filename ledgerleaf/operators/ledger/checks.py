@@ -22,6 +22,12 @@ OFF_HOURS = "Weekend / after-hours on cash or bank"
 VERY_LATE = "Very late entry"
 WRONG_INVOICE = "Payment cleared against wrong invoice"
 
+#: What the tests read of a posting.
+POSTING_COLUMNS = (
+    "PostingID", "PostingDate", "DocumentDate", "PostingType", "UserID", "PostingAmount", "Imbalance", "IsBalanced", "TouchesCash", "CashAmount",
+    "LiquidAmount", "IsWeekend", "IsAfterHours", "LagDays", "Counterparty", "RefPostingID", "FirstAccountName", "Year",
+)
+
 # Tests that need an optional column.
 NEEDS = (
     (DUPLICATE, "Counterparty"),

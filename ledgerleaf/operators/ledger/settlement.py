@@ -12,6 +12,8 @@ from ledgerleaf.settings import LedgerSettings
 # Age buckets with their upper bounds in days (the last one is open up to 100000).
 AGE_BUCKETS = (("0-30", 30), ("31-60", 60), ("61-90", 90), ("90+", 100000))
 INVOICE_COLUMNS = ["PostingID", "PostingType", "PostingDate", "DocumentDate", "PostingAmount", "Counterparty"]
+#: What matching and aging read of a posting.
+POSTING_COLUMNS = (*INVOICE_COLUMNS, "TouchesCash", "RefPostingID")
 
 
 def invoices_of(postings: DataFrame) -> DataFrame:

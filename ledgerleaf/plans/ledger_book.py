@@ -24,6 +24,7 @@ class LedgerBook:
         self.chart = chart
         self.overrides = overrides
         self.cfg = cfg
+        self._narrow: dict[tuple[str, ...], DataFrame] = {}
 
     @cached_property
     def accounts(self) -> DataFrame:
@@ -40,20 +41,28 @@ class LedgerBook:
         """The roll-up as a table, for marts that read it more than once."""
         return materialize(self.postings_plan, "postings")
 
+    def postings_with(self, columns: tuple[str, ...]) -> DataFrame:
+        """The roll-up as a table of some columns; what only the others need is not computed. A whole table serves as well."""
+        if "postings" in self.__dict__:
+            return self.postings
+        if columns not in self._narrow:
+            self._narrow[columns] = materialize(self.postings_plan.select(*columns), "postings")
+        return self._narrow[columns]
+
     @cached_property
     def flags_plan(self) -> DataFrame:
-        return checks.all_flags(self.postings, self.lines, self.cfg)
+        return checks.all_flags(self.postings_with(checks.POSTING_COLUMNS), self.lines, self.cfg)
 
     @cached_property
     def flags(self) -> DataFrame:
         return materialize(self.flags_plan, "flags")
 
     def settlements_by(self, method: str) -> DataFrame:
-        return settlement.settle(self.postings, method, self.cfg)
+        return settlement.settle(self.postings_with(settlement.POSTING_COLUMNS), method, self.cfg)
 
     @cached_property
     def settlements(self) -> DataFrame | None:
-        method = settlement.settlement_method(self.postings)
+        method = settlement.settlement_method(self.postings_with(settlement.POSTING_COLUMNS))
         return None if method is None else materialize(self.settlements_by(method), "settlements")
 
     @cached_property

@@ -52,6 +52,12 @@ def _exact(b: LedgerBook) -> DataFrame:
     return b.settlements_by("reference")
 
 
+def _in_slice(b: LedgerBook, rows: Callable[[], DataFrame]) -> DataFrame:
+    """Rows of postings in the slice. The postings come first, so that the rows are computed from the same table."""
+    sliced = _sliced(b.postings)
+    return postings.keep_sliced(rows(), sliced)
+
+
 def _marts(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_dir = new_path(spark, "ledger-run")
     return sinks.mart_rows(spark, run_dir, sinks.write_ledger_marts(book_of(spark, sf_dir), run_dir))
@@ -86,19 +92,19 @@ BOOK_QUERIES: dict[str, Callable[[LedgerBook], DataFrame]] = {
     "gl_timeliness": lambda b: b.postings_plan.select(*TIMELINESS),
     "gl_test_unbalanced": _row_test(checks.UNBALANCED),
     "gl_test_large_cash": _row_test(checks.LARGE_CASH),
-    "gl_test_duplicate": lambda b: checks.duplicate_flags(b.postings),
+    "gl_test_duplicate": lambda b: checks.duplicate_flags(b.postings_with(checks.POSTING_COLUMNS)),
     "gl_test_backdated": _row_test(checks.BACKDATED),
     "gl_test_rare_account": lambda b: checks.rare_account_flags(b.postings_plan, b.lines, b.cfg),
     "gl_test_off_hours": _row_test(checks.OFF_HOURS),
     "gl_test_very_late": _row_test(checks.VERY_LATE),
-    "gl_test_wrong_invoice": lambda b: checks.wrong_invoice_flags(b.postings),
+    "gl_test_wrong_invoice": lambda b: checks.wrong_invoice_flags(b.postings_with(checks.POSTING_COLUMNS)),
     "gl_rare_account_years": lambda b: checks.rare_account_years(b.lines, b.cfg),
     "gl_flags": lambda b: b.flags_plan,
     "gl_tests_skipped": lambda b: checks.tests_skipped(_sliced(b.postings_plan)),
     "gl_ref_type": lambda b: checks.referenced_types(b.postings),
     "gl_slice": lambda b: _slice_columns(_sliced(b.postings_plan)),
-    "gl_slice_semi": lambda b: postings.keep_sliced(b.flags_plan, _sliced(b.postings)),
-    "gl_slice_values": lambda b: reports.slice_values(b.postings),
+    "gl_slice_semi": lambda b: _in_slice(b, lambda: b.flags_plan),
+    "gl_slice_values": lambda b: reports.slice_values(b.postings_with(reports.SLICE_COLUMNS)),
     "gl_settle_exact": _exact,
     "gl_settle_fifo": lambda b: b.settlements_by("fifo"),
     "gl_aging": lambda b: _exact(b).select("PostingID", "InvoiceDate", "AgeAtPeriodEnd", "AgeBucket", "DaysToSettle", "PaidVia"),
@@ -115,7 +121,7 @@ BOOK_QUERIES: dict[str, Callable[[LedgerBook], DataFrame]] = {
     "gl_monthly_flagged": lambda b: reports.monthly_flagged(b.postings, b.flags_plan),
     "gl_by_type": lambda b: reports.by_type(b.postings_plan),
     "gl_month_type": lambda b: reports.by_month_type(b.postings_plan),
-    "gl_by_preparer": lambda b: reports.by_preparer(b.postings),
+    "gl_by_preparer": lambda b: reports.by_preparer(b.postings_with(reports.SLICE_COLUMNS)),
     "gl_month_end_share": lambda b: reports.month_end_share(b.postings_plan),
     "gl_lines_per_entry": lambda b: reports.lines_per_entry(b.postings_plan),
     "gl_lag_bands_user": lambda b: reports.lag_bands_by_user(b.postings_plan),
@@ -132,9 +138,7 @@ BOOK_QUERIES: dict[str, Callable[[LedgerBook], DataFrame]] = {
     "gl_flag_kpis": lambda b: reports.flag_kpis(b.postings, b.flags),
     "gl_flags_user_test": lambda b: reports.flags_user_test(b.flags_plan),
     "gl_flags_month_test": lambda b: reports.flags_month_test(b.flags_plan),
-    "gl_settle_kpis": lambda b: reports.settlement_kpis(
-        postings.keep_sliced(_exact(b), _sliced(b.postings)), _sliced(b.postings)
-    ),
+    "gl_settle_kpis": lambda b: reports.settlement_kpis(_in_slice(b, lambda: _exact(b)), _sliced(b.postings)),
     "gl_settle_by_type": lambda b: reports.settlement_by_type(_exact(b)),
     "gl_settle_hist": lambda b: reports.settlement_histogram(b.settlements),
     "gl_open_by_age": lambda b: reports.open_by_age(_exact(b)),

@@ -24,6 +24,10 @@ def _mean(c: str, name: str) -> Column:
     return F.round(F.avg(c), 6).alias(name)
 
 
+#: What the choices for the slice and the counts by preparer read of a posting.
+SLICE_COLUMNS = ("UserID", "PostingType")
+
+
 def slice_values(postings: DataFrame) -> DataFrame:
     """Choices for the slice: preparers and posting types."""
     users = postings.filter(F.col("UserID").isNotNull()).select(F.lit("UserID").alias("Field"), F.col("UserID").alias("Value"))
