@@ -34,7 +34,7 @@ def _features() -> dict[str, Column]:
         return F.bool_or(or_false(cond))
 
     def money_where(cond: Column) -> Column:
-        return F.sum(F.when(cond, moved).otherwise(F.lit(0).cast("decimal(18,4)")))
+        return F.try_sum(F.when(cond, moved).otherwise(F.lit(0).cast("decimal(18,4)")))
 
     return {
         "DrAP": any_line(debit & (group == "Payables")),
@@ -53,7 +53,10 @@ def _features() -> dict[str, Column]:
 
 
 def roll_up(enriched: DataFrame, cfg: LedgerSettings = LedgerSettings()) -> DataFrame:
-    """One row per posting id. Sums and flags combine before the shuffle, so a hot id costs one row per task."""
+    """One row per posting id. Sums and flags combine before the shuffle, so a hot id costs one row per task.
+
+    Totals beyond the type of postings are null; ``quality.oversized_postings`` lists them.
+    """
 
     def first(c: str) -> Column:
         return F.expr(f"min_by({c}, {cfg.line_order}) FILTER (WHERE {c} IS NOT NULL)").alias(c)
@@ -65,17 +68,17 @@ def roll_up(enriched: DataFrame, cfg: LedgerSettings = LedgerSettings()) -> Data
             *[first(c) for c in HEADER_FIELDS],
             first("AccountName").alias("FirstAccountName"),
             F.count(F.lit(1)).alias("LineCount"),
-            F.sum("Debit").alias("Debits"),
-            F.sum("Credit").alias("Credits"),
+            F.try_sum("Debit").alias("Debits"),
+            F.try_sum("Credit").alias("Credits"),
             *[c.alias(n) for n, c in _features().items()],
         )
     )
-    imbalance = F.bround(F.col("Debits") - F.col("Credits"), 2).cast(MONEY_POSTING)
+    imbalance = F.bround(F.try_subtract("Debits", "Credits"), 2)
     return grouped.withColumns(
         {
-            "PostingAmount": F.bround("Debits", 2).cast(MONEY_POSTING),
-            "Imbalance": imbalance,
-            "IsBalanced": F.abs(imbalance) < F.lit("0.01").cast("decimal(3,2)"),
+            "PostingAmount": F.bround("Debits", 2).try_cast(MONEY_POSTING),
+            "Imbalance": imbalance.try_cast(MONEY_POSTING),
+            "IsBalanced": or_false(F.abs(imbalance) < F.lit("0.01").cast("decimal(3,2)")),
         }
     )
 

@@ -28,6 +28,12 @@ def unbalanced_entries(postings: DataFrame) -> DataFrame:
     return postings.filter(~F.col("IsBalanced")).select("PostingID", "PostingDate", "Imbalance")
 
 
+def oversized_postings(postings: DataFrame) -> DataFrame:
+    """Postings whose amount or imbalance has more places than postings hold; a total that no decimal holds is null."""
+    too_wide = F.col("PostingAmount").isNull() | F.col("Imbalance").isNull()
+    return postings.filter(too_wide).select("PostingID", "PostingDate", "Debits", "Credits")
+
+
 def lines_without_date(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("PostingDate").isNull()).select("LineNo", "PostingID", "AccountName", "Debit", "Credit")
 

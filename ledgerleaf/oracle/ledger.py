@@ -333,6 +333,9 @@ def statements() -> dict[str, str]:
         "gl_account_overrides": a(f"SELECT {ACCOUNT_ROW} FROM accounts", overrides=edits),
         "gl_enriched_lines": p(f"SELECT PostingID, LineNo, AccountNo, {money('dr', 'Debit')}, {money('cr', 'Credit')}, AccountClass, AccountGroup, CASE WHEN AccountGroup IS NOT NULL THEN liq END AS IsLiquid FROM enriched"),
         "gl_postings": p(f"SELECT {head_cols}, {feats}, {sums}, imb = 0 AS IsBalanced FROM postings"),
+        "gl_dq_oversized": with_lines("""SELECT PostingID, min(PostingDate) AS PostingDate, CAST(CAST(sum(dr) AS HUGEINT) * 10000000000 AS DOUBLE) AS Debits,
+            CAST(CAST(sum(cr) AS HUGEINT) * 10000000000 AS DOUBLE) AS Credits FROM lines WHERE LineNo // 32 % 1000 = 0
+            GROUP BY PostingID HAVING sum(dr) >= 1000000 OR abs(sum(dr) - sum(cr)) >= 1000000"""),
         "gl_posting_types": p("SELECT PostingID, PostingType FROM postings"),
         "gl_timeliness": p("SELECT PostingID, LagDays, HasLag, LagBand, IsOnTime, EnteredHour, EnteredWeekday, IsWeekend, IsAfterHours, Year, YearMonth, IsMonthEndWeek FROM postings"),
         "gl_test_unbalanced": flags_of("Unbalanced entry"),

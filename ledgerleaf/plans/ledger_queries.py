@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerleaf import dims, fixtures
-from ledgerleaf.functions.columns import decimals_as_double
+from ledgerleaf.functions.columns import MONEY_LINE, decimals_as_double
 from ledgerleaf.operators.ledger import accounts as acc
 from ledgerleaf.operators.ledger import checks, postings, quality, settlement
 from ledgerleaf.plans import ledger_reports as reports
@@ -52,6 +53,13 @@ def _exact(b: LedgerBook) -> DataFrame:
     return b.settlements_by("reference")
 
 
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal with the amounts of every thousandth key times a million millions."""
+    wide = F.when(F.expr("LineNo div 32 % 1000 = 0"), F.lit(10**12)).otherwise(F.lit(1)).cast("decimal(13,0)")
+    lines = fixtures.journal_lines(spark, sf_dir).withColumns({c: (F.col(c) * wide).cast(MONEY_LINE) for c in ("Debit", "Credit")})
+    return decimals_as_double(quality.oversized_postings(LedgerBook(lines, dims.chart(spark)).postings_plan))
+
+
 def _in_slice(b: LedgerBook, rows: Callable[[], DataFrame]) -> DataFrame:
     """Rows of postings in the slice. The postings come first, so that the rows are computed from the same table."""
     sliced = _sliced(b.postings)
@@ -159,6 +167,7 @@ def ledger_queries() -> dict[str, Query]:
         "gl_journal_lines": lambda spark, sf_dir: decimals_as_double(fixtures.journal_lines(spark, sf_dir)),
         "gl_classify_accounts": lambda spark, sf_dir: decimals_as_double(book_of(spark, sf_dir, chart=False).accounts),
         "gl_account_overrides": lambda spark, sf_dir: decimals_as_double(_overridden(spark, sf_dir)),
+        "gl_dq_oversized": _oversized,
         "snk_flag_extract": _extract,
         "snk_ledger_marts": _marts,
     }

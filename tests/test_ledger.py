@@ -9,6 +9,7 @@ from ledgerleaf import dims
 from ledgerleaf.functions.columns import floor_days, parse_amount
 from ledgerleaf.operators.ledger.accounts import classify_accounts
 from ledgerleaf.operators.ledger.postings import build_postings
+from ledgerleaf.operators.ledger.quality import oversized_postings
 
 LINE = (
     "LineNo long, PostingID string, PostingDate timestamp_ntz, DocumentDate timestamp_ntz, EnteredDateTime timestamp_ntz, AccountNo string, "
@@ -79,3 +80,15 @@ def test_amount_text(spark):
 def test_floor_days(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-02 00:00:00' AS a, TIMESTAMP_NTZ '2024-01-01 10:00:00' AS b")
     assert df.select(floor_days(F.col("a"), F.col("b")), floor_days(F.col("b"), F.col("a"))).first()[:] == (0, -1)
+
+
+def test_totals_that_fit_no_posting(spark):
+    """A posting of more places than postings hold is listed and stops no other; so is one that no decimal holds."""
+    rows = [row("big", "1000", "Cash", "9" * 13, 0), row("big", "8400", "Sales", 0, "9" * 13), row("small", "1000", "Cash", 5, 0), row("small", "8400", "Sales", 0, 5)]
+    journal = lines(spark, rows)
+    huge = F.when(F.col("PostingID") == "big", F.lit(10**11)).otherwise(F.lit(1)).cast("decimal(12,0)")
+    journal = journal.withColumns({c: (F.col(c) * huge).cast("decimal(28,4)") for c in ("Debit", "Credit")})
+    found = build_postings(journal, classify_accounts(journal, dims.chart(spark)))
+    got = {r.PostingID: (r.PostingAmount, r.Imbalance, r.IsBalanced) for r in found.collect()}
+    assert got == {"big": (None, Decimal("0.00"), True), "small": (Decimal("5.00"), Decimal("0.00"), True)}
+    assert [r.PostingID for r in oversized_postings(found).collect()] == ["big"]
