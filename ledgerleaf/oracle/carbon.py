@@ -133,7 +133,7 @@ GAP = f"""
 gap AS (SELECT {t_sum(col='loc')} AS Location, {t_sum()} AS Market FROM inv WHERE y = 2000 AND scope = 'Scope 2')"""
 
 
-def statements() -> dict[str, str]:
+def _reports() -> dict[str, str]:
     by = lambda cols, where="true": f(f"SELECT {cols}, {t_sum()} AS tCO2e FROM inv WHERE {where} GROUP BY ALL")
     fact_row = "site AS SiteID, scope AS Scope, cat AS CategoryID, activity AS ActivityType, CAST(q AS DOUBLE) AS Quantity"
     change = "CASE fid WHEN 'EF_NG' THEN 2 WHEN 'EF_EL_TH' THEN 3 WHEN 'EF_SP_STEEL' THEN 4 ELSE 1 END"
@@ -212,3 +212,12 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT 'factors_used', 50 UNION ALL SELECT 'findings', 6""",
         ),
     }
+
+
+def statements() -> dict[str, str]:
+    out = _reports()
+    marts = {"by_category": "ghg_sum_category", "by_site": "ghg_sum_site", "targets": "ghg_target_vs_actual", "findings": "ghg_findings"}
+    out |= {f"snk_inventory_{mart}": out[name] for mart, name in marts.items()}
+    renamed = ", ".join(f'"Scope {n}" AS Scope{n}' for n in (1, 2, 3))
+    out["snk_inventory_by_scope"] = f"SELECT Year, {renamed}, Total FROM ({out['ghg_scope_year']})"
+    return out

@@ -314,7 +314,7 @@ cand AS (
     round(avg(CAST(PaidVia = 'Cash' AS INTEGER)), 6), NULL FROM settlements HAVING avg(CAST(PaidVia = 'Cash' AS INTEGER)) > 0.1)"""
 
 
-def statements() -> dict[str, str]:
+def _reports() -> dict[str, str]:
     p, a, ln = with_postings, with_accounts, with_lines
     edits = values_cte("edits", "no, cls, grp", [("4600", "Asset", "Cash & bank"), ("9990", "Equity", "Equity")])
     days = "(VALUES (1, 'Monday'), (2, 'Tuesday'), (3, 'Wednesday'), (4, 'Thursday'), (5, 'Friday'), (6, 'Saturday'), (7, 'Sunday')) AS w(DayOrder, EnteredWeekday)"
@@ -449,3 +449,11 @@ def statements() -> dict[str, str]:
             FLAGS, exact,
         ),
     }
+
+
+def statements() -> dict[str, str]:
+    out = _reports()
+    marts = {"by_year": "gl_sum_year", "by_preparer": "gl_sum_preparer", "by_month": "gl_sum_month", "flags": "gl_flags", "data_quality": "gl_dq_summary"}
+    out |= {f"snk_ledger_{mart}": out[name] for mart, name in marts.items()}
+    out["snk_ledger_settlements"] = f"SELECT * EXCLUDE (TouchesCash) FROM ({out['gl_settle_exact']})"
+    return out

@@ -145,11 +145,27 @@ def _site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _marts(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_dir = new_path(spark, "inventory-run")
-    fact = materialize(inventory(spark, sf_dir), "inventory")
-    names = sinks.write_inventory_marts(
-        fact, facts_of.slice_fact(fact, CFG), dims.factors(spark), drivers(spark, sf_dir), CFG, run_dir
-    )
-    return sinks.mart_rows(spark, run_dir, names)
+    return sinks.mart_rows(spark, run_dir, _write_marts(spark, sf_dir, run_dir))
+
+
+def _write_marts(spark: SparkSession, sf_dir: str, run_dir: str, only: tuple[str, ...] | None = None) -> list[str]:
+    fact = materialize(facts_of.slice_totals(inventory(spark, sf_dir)), "inventory-totals")
+    sliced = facts_of.slice_fact(fact, CFG)
+    return sinks.write_inventory_marts(fact, sliced, dims.factors(spark), drivers(spark, sf_dir), CFG, run_dir, only)
+
+
+MARTS = ("by_scope", "by_category", "by_site", "targets", "findings")
+
+
+def _mart(name: str) -> Query:
+    """What a reader finds in one mart."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        run_dir = new_path(spark, "inventory-run")
+        _write_marts(spark, sf_dir, run_dir, (name,))
+        return spark.read.parquet(f"{run_dir}/{name}")
+
+    return run
 
 
 def _target_years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +250,7 @@ def carbon_queries() -> dict[str, Query]:
         "ghg_target_years": _target_years,
         "snk_inventory_marts": _marts,
     }
+    out.update({f"snk_inventory_{name}": _mart(name) for name in MARTS})
     out.update({n: _once(b) for n, b in ONCE.items()})
     out.update({n: _shared(b) for n, b in SHARED.items()})
     out.update({n: _driven(b) for n, b in WITH_DRIVERS.items()})

@@ -71,6 +71,21 @@ def _marts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.mart_rows(spark, run_dir, sinks.write_ledger_marts(book_of(spark, sf_dir), run_dir))
 
 
+def _mart(name: str) -> Query:
+    """What a reader finds in one mart."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        run_dir = new_path(spark, "ledger-run")
+        sinks.write_ledger_marts(book_of(spark, sf_dir), run_dir, (name,))
+        found = spark.read.parquet(f"{run_dir}/{name}")
+        return decimals_as_double(found.drop("Year") if name in ("flags", "settlements") else found)
+
+    return run
+
+
+MARTS = ("by_year", "by_preparer", "by_month", "flags", "data_quality", "settlements")
+
+
 def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "flag-extract")
     sinks.write_flag_extract(book_of(spark, sf_dir).flags_plan, path, EXTRACT_TESTS)
@@ -171,5 +186,6 @@ def ledger_queries() -> dict[str, Query]:
         "snk_flag_extract": _extract,
         "snk_ledger_marts": _marts,
     }
+    out.update({f"snk_ledger_{name}": _mart(name) for name in MARTS})
     out.update({name: _on_book(build) for name, build in BOOK_QUERIES.items()})
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,22 +32,25 @@ def mart_rows(spark: SparkSession, run_dir: str, names: list[str]) -> DataFrame:
     return out
 
 
-def write_ledger_marts(book: LedgerBook, run_dir: str) -> list[str]:
-    """By year, preparer and month, flags, settlements, accounts and quality. Shared inputs are computed once."""
+def write_ledger_marts(book: LedgerBook, run_dir: str, only: tuple[str, ...] | None = None) -> list[str]:
+    """By year, preparer and month, flags, settlements, accounts and quality, or some of them. Shared inputs are computed once."""
     year = F.year("PostingDate").alias("Year")
-    marts: dict[str, tuple[DataFrame, str | None]] = {
-        "by_year": (reports.summary_by_year(book.postings), None),
-        "by_preparer": (reports.summary_by_preparer(book.postings, book.flags), None),
-        "by_month": (reports.summary_by_month(book.postings), None),
-        "flags": (book.flags.select("*", year), "Year"),
-        "accounts": (book.accounts, None),
-        "data_quality": (book.quality, None),
+    marts: dict[str, tuple[Callable[[], DataFrame | None], str | None]] = {
+        "by_year": (lambda: reports.summary_by_year(book.postings), None),
+        "by_preparer": (lambda: reports.summary_by_preparer(book.postings, book.flags), None),
+        "by_month": (lambda: reports.summary_by_month(book.postings), None),
+        "flags": (lambda: book.flags.select("*", year), "Year"),
+        "accounts": (lambda: book.accounts, None),
+        "data_quality": (lambda: book.quality, None),
+        "settlements": (lambda: None if book.settlements is None else book.settlements.drop("TouchesCash").select("*", year), "Year"),
     }
-    if book.settlements is not None:
-        marts["settlements"] = (book.settlements.drop("TouchesCash").select("*", year), "Year")
-    for name, (df, by) in marts.items():
-        write_mart(df, run_dir, name, by)
-    return list(marts)
+    written = []
+    for name, (build, by) in marts.items():
+        df = build() if only is None or name in only else None
+        if df is not None:
+            write_mart(df, run_dir, name, by)
+            written.append(name)
+    return written
 
 
 def write_flag_extract(flags: DataFrame, path: str, tests: tuple[str, ...] | None = None) -> None:
@@ -59,18 +64,20 @@ FLAG_EXTRACT_SCHEMA = (
 
 
 def write_inventory_marts(
-    facts: DataFrame, sliced: DataFrame, factors: DataFrame, drivers: DataFrame, cfg: CarbonSettings, run_dir: str
+    facts: DataFrame, sliced: DataFrame, factors: DataFrame, drivers: DataFrame, cfg: CarbonSettings, run_dir: str, only: tuple[str, ...] | None = None
 ) -> list[str]:
-    """By scope, category and site, targets, the factors used and the findings."""
-    marts = {
-        "by_scope": inventory.scope_year(sliced, cfg),
-        "by_category": inventory.summary_by_category(sliced, cfg),
-        "by_site": inventory.summary_by_site(sliced, cfg),
-        "targets": target_vs_actual(facts, sliced, cfg),
-        "factors_used": factors,
-        "findings": inventory.findings(facts, sliced, drivers, cfg),
+    """By scope, category and site, targets, the factors used and the findings, or some of them."""
+    marts: dict[str, Callable[[], DataFrame]] = {
+        "by_scope": lambda: inventory.scope_year(sliced, cfg),
+        "by_category": lambda: inventory.summary_by_category(sliced, cfg),
+        "by_site": lambda: inventory.summary_by_site(sliced, cfg),
+        "targets": lambda: target_vs_actual(facts, sliced, cfg),
+        "factors_used": lambda: factors,
+        "findings": lambda: inventory.findings(facts, sliced, drivers, cfg),
     }
-    for name, df in marts.items():
+    names = [name for name in marts if only is None or name in only]
+    for name in names:
+        df = marts[name]()
         # Parquet columns may hold any name, but not blanks in older readers.
         write_mart(df.toDF(*[c.replace(" ", "") for c in df.columns]), run_dir, name)
-    return list(marts)
+    return names
