@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -51,6 +52,28 @@ def crc32_sql(value: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {step}), 4294967295)"
 
 
+def text_key(text: bytes) -> bytes:
+    """16 bytes that name a text: the first half of its SHA-256."""
+    return hashlib.sha256(text).digest()[:16]
+
+
+def key_column(text: Column) -> Column:
+    """``text_key`` as a Spark expression; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` lacks, whatever the case of its own: the stems, with underscores where they are taken."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def texts_of(batch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a text column of an Arrow batch; null becomes empty."""
     import pyarrow as pa

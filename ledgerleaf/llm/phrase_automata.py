@@ -14,12 +14,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerleaf.llm import repeats
-from ledgerleaf.llm.common import WordHashes, sliced, texts_of
+from ledgerleaf.llm.common import WordHashes, free_names, sliced, texts_of
 from ledgerleaf.store import materialize
 
 WINDOW = 50
@@ -90,30 +90,31 @@ def _later(runs: np.ndarray, new: np.ndarray) -> np.ndarray:
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, whole, spans): the word spans to remove, or whole documents (later copies of a whole text)."""
+    """(key, first_id, copies, n_units, spans) of the texts that lose words: those in the spans, or all in later copies."""
     scanned = materialize(repeats.scan(docs, RUNS), "scanned")
     texts = materialize(repeats.distinct_texts(scanned), "texts")
     pairs = repeats.recurring(texts, RUNS)
     sent = repeats.stretches(docs, pairs, RUNS)
     found = materialize(sent.groupBy("shard", "part").applyInArrow(_located, repeats.FOUND), "found")
     spans = repeats.settle(found, RUNS, _later)
-    of_text = texts.filter("first_id is not null").select("key", "first_id", "n_units", "copies").join(spans, "key", "left")
-    of_text = materialize(of_text.filter(f"spans is not null or (copies > 1 and n_units >= {WINDOW})"), "spans")
-    rows = scanned.filter("doc_id is not null").select("doc_id", "key").distinct().join(of_text, "key")
-    whole = (F.col("doc_id") > F.col("first_id")) & (F.col("n_units") >= WINDOW)
-    return rows.withColumn("whole", whole).filter("whole or spans is not null").select("doc_id", "key", "whole", "spans")
+    of_text = texts.filter("first_id is not null").select("key", "first_id", "copies", "n_units").join(spans, "key", "left")
+    return of_text.filter(f"spans is not null or (copies > 1 and n_units >= {WINDOW})")
 
 
-def _kept(text: bytes, decided: list | None) -> tuple[list[bytes], int]:
+def _whole(of: Column) -> Column:
+    """True for a later document with a text that is long enough; null without an id, since such a document loses nothing."""
+    return (F.col("doc_id").cast("long") > of["first_id"]) & (of["n_units"] >= F.when(F.col("doc_id").cast("long").isNotNull(), WINDOW))
+
+
+def _kept(text: bytes, decided: dict | None) -> tuple[list[bytes], int]:
     """The words that stay, and how many go."""
     words = text.split()
-    for d in decided or ():
-        if d["key"] == repeats.text_key(text):
-            if d["whole"]:
-                return [], len(words)
-            gone = repeats.covered(d["spans"], len(words))
-            return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
-    return words, 0
+    if not decided:
+        return words, 0
+    if decided["whole"]:
+        return [], len(words)
+    gone = repeats.covered(decided["spans"], len(words))
+    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -133,23 +134,27 @@ def digest(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(removed), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = repeats.with_decisions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), decisions(docs), "_cut")
+    rows = repeats.with_decisions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), decisions(docs), "_cut", _whole)
     return rows.mapInArrow(told, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Documents with the repeated words taken out of their texts (then joined by single spaces); all other texts and
-    columns stay as they are, and documents of which no word stays are dropped."""
+    columns stay as they are, and documents of which no word stays by this are dropped.
+
+    Defined cases: as in ``digest``; null, empty and blank texts stay as they are; columns may have any names.
+    """
     names = docs.columns
+    (cut_name,) = free_names(docs, "_cut")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts, stays = [], []
-            for text, raw, decided in zip(batch.column("text").to_pylist(), texts_of(batch), batch.column("_cut").to_pylist(), strict=True):
+            for text, raw, decided in zip(batch.column("text").to_pylist(), texts_of(batch), batch.column(cut_name).to_pylist(), strict=True):
                 words, gone = _kept(raw, decided)
                 texts.append(b" ".join(words).decode() if gone else text)
                 stays.append(bool(words) or not gone)
             columns = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays, pa.bool_()))
 
-    return repeats.with_decisions(docs, decisions(docs), "_cut").mapInArrow(cut, T.StructType(docs.schema.fields))
+    return repeats.with_decisions(docs, decisions(docs), cut_name, _whole).mapInArrow(cut, T.StructType(docs.schema.fields))

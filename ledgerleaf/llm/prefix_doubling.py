@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import repeats
@@ -80,7 +80,7 @@ def _doubled(table: pa.Table) -> pa.Table:
     open_runs = np.empty(0, repeats.OPEN_RUN)
     if parts > 1:  # one of each string that no home text has
         own = np.array(table.column("own").to_pylist(), bool)
-        rows = [_open_runs(keys[i], docs[i], starts[i], data[begins[i] : begins[i] + sizes[i]]) for i in range(len(keys))]
+        rows = [_open_runs(keys[i], -1 if docs[i] is None else docs[i], starts[i], data[begins[i] : begins[i] + sizes[i]]) for i in range(len(keys))]
         homes = np.concatenate([r["h1"] for r, o in zip(rows, own, strict=True) if o] or [np.empty(0, np.uint64)])
         rest = np.concatenate([r for r, o in zip(rows, own, strict=True) if not o] or [open_runs])
         rest = rest[~np.isin(rest["h1"], homes)]
@@ -101,24 +101,28 @@ def _several(runs: np.ndarray, new: np.ndarray) -> np.ndarray:
 
 
 def decisions(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, whole, spans): the byte spans to remove, or whole documents (copies of a whole text)."""
+    """(key, first_id, copies, n_units, spans) of the texts that lose bytes: those in the spans, or all if there are copies."""
     scanned = materialize(repeats.scan(docs, RUNS), "scanned")
     texts = materialize(repeats.distinct_texts(scanned), "texts")
     pairs = repeats.recurring(texts, RUNS)
     sent = repeats.stretches(docs, pairs, RUNS)
     found = materialize(sent.groupBy("shard", "part").applyInArrow(_doubled, repeats.FOUND), "found")
     spans = repeats.settle(found, RUNS, _several)
-    of_text = texts.filter("first_id is not null").select("key", "n_units", "copies").join(spans, "key", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_units") >= LENGTH)
-    of_text = materialize(of_text.withColumn("whole", whole).filter("whole or spans is not null"), "spans")
-    return scanned.filter("doc_id is not null").select("doc_id", "key").distinct().join(of_text, "key").select("doc_id", "key", "whole", "spans")
+    of_text = texts.select("key", "first_id", "copies", "n_units").join(spans, "key", "left")
+    return of_text.filter(_whole(F.struct("copies", "n_units")) | F.col("spans").isNotNull())
+
+
+def _whole(of: Column) -> Column:
+    """True for texts that go whole: those with copies that are long enough."""
+    return (of["copies"] > 1) & (of["n_units"] >= LENGTH)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document.
 
     Defined cases: a null or empty text has no bytes; texts under 400 bytes stay; every copy of a longer text goes
-    whole; a document without an id stays whole and is compared with no other; an empty table gives no rows.
+    whole; ids decide nothing, so documents without one or with a shared one are like all others; an empty table gives
+    no rows.
     """
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,14 +130,13 @@ def digest(docs: DataFrame) -> DataFrame:
             rows = []
             for text, decided in zip(texts_of(batch), batch.column("_cut").to_pylist(), strict=True):
                 gone = np.zeros(len(text), bool)
-                for d in decided or ():
-                    if d["key"] == repeats.text_key(text):
-                        gone = np.ones(len(text), bool) if d["whole"] else repeats.covered(d["spans"], len(text))
+                if decided:
+                    gone = np.ones(len(text), bool) if decided["whole"] else repeats.covered(decided["spans"], len(text))
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 rows.append((len(text), int(gone.sum()), int(np.count_nonzero(gone & ~np.concatenate(([False], gone[:-1])))), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = repeats.with_decisions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), decisions(docs), "_cut")
+    rows = repeats.with_decisions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), decisions(docs), "_cut", _whole)
     return rows.mapInArrow(told, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -12,16 +12,15 @@ its home texts go to every part, and what the parts cannot settle is compared in
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import WordHashes, if_small, mixed, sliced, texts_of, window_hashes
+from ledgerleaf.llm.common import WordHashes, free_names, if_small, key_column, mixed, sliced, text_key, texts_of, window_hashes
 from ledgerleaf.store import materialize
 
 
@@ -82,10 +81,6 @@ def phrase_hashes(values: np.ndarray, runs: Runs) -> np.ndarray:
     return hashes[places[(places >= 0) & (places < len(hashes))]]
 
 
-def text_key(text: bytes) -> bytes:
-    return hashlib.blake2b(text, digest_size=16).digest()
-
-
 def scan(docs: DataFrame, runs: Runs) -> DataFrame:
     """(doc_id, key, n_units, phrases, again) of every document; key names its text. ``again`` are phrases that occur
     at several places of the text, and stays empty unless those count."""
@@ -116,8 +111,11 @@ def distinct_texts(scanned: DataFrame) -> DataFrame:
 
 
 def recurring(texts: DataFrame, runs: Runs) -> DataFrame:
-    """(key, first_id, home, phrase): phrases that recur, for each text that has them."""
-    rows = texts.filter("first_id is not null")
+    """(key, first_id, home, phrase): phrases that recur, for each text that has them.
+
+    Where runs within one text count, ids decide nothing, and texts without an id take part like all others.
+    """
+    rows = texts if runs.same_text else texts.filter("first_id is not null")
     each = rows.select("key", "first_id", F.explode("phrases").alias("phrase"))
     count = each.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first_id", "key")).alias("least"))
     several = count.filter("n > 1").select("phrase", F.col("least.key").alias("home"))
@@ -153,23 +151,25 @@ def stretches(docs: DataFrame, pairs: DataFrame, runs: Runs) -> DataFrame:
     # Eight bytes for each phrase and about a hundred for each row.
     narrow = sent.agg(F.sum(F.size("phrases") + F.size("own") + 16)).first()[0] or 0
     wanted = F.broadcast(sent) if narrow <= 1 << 23 else sent
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").filter("text is not null")
-    joined = rows.join(wanted, F.col("_id") == F.col("first_id")).drop("_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), key_column(F.col("text")).alias("_key"), "text").filter("text is not null")
+    joined = rows.join(wanted, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("first_id"))).drop("_id", "_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, done = WordHashes(), set()
         for batch in sliced(batches):
             columns = {c: batch.column(c).to_pylist() for c in ("shard", "part", "parts", "key", "first_id")}
             phrases, own = batch.column("phrases"), batch.column("own")
             out = []
             last_text, last = None, None
             for i, text in enumerate(texts_of(batch)):
+                key = columns["key"][i]
+                if (columns["shard"][i], key) in done:  # a repeated row
+                    continue
+                done.add((columns["shard"][i], key))
                 if text is not last_text and text != last_text:
                     values = runs.values(text, hashes)
-                    last_text, last = text, (text_key(text), window_hashes(values, runs.phrase), runs.parts(text), len(values))
-                key, hashed, pieces, n = last
-                if key != columns["key"][i]:  # another text with the same id
-                    continue
+                    last_text, last = text, (window_hashes(values, runs.phrase), runs.parts(text), len(values))
+                hashed, pieces, n = last
                 at = np.flatnonzero(np.isin(hashed, np.array(phrases[i].as_py(), np.int64).view(np.uint64)))
                 homes = np.flatnonzero(np.isin(hashed, np.array(own[i].as_py(), np.int64).view(np.uint64)))
                 low = np.maximum(at - (runs.length - runs.phrase), 0)
@@ -249,9 +249,16 @@ def covered(spans: list, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_decisions(docs: DataFrame, decisions: DataFrame, name: str) -> DataFrame:
-    """Documents with an array of the decisions (key, whole, spans) on their id in the column ``name``, null if none."""
-    each = decisions.groupBy(F.col("doc_id").alias("_decided")).agg(F.collect_list(F.struct("key", "whole", "spans")).alias(name))
+def with_decisions(docs: DataFrame, decisions: DataFrame, name: str, whole: Callable[[Column], Column]) -> DataFrame:
+    """Documents with the decision on their text in the column ``name``: (whole, spans), or null where nothing goes.
+
+    ``decisions`` has key, first_id, copies, n_units and spans, one row for each text; ``whole`` tells from these whether
+    a document goes whole, and is null where it loses nothing.
+    """
+    own, theirs = free_names(docs.withColumn(name, F.lit(0)), "_key", "_of")
+    each = decisions.select(F.col("key").alias(theirs), F.struct("first_id", "copies", "n_units", "spans").alias(name))
     each = materialize(each, "decisions")
-    size = each.agg(F.sum(F.expr(f"aggregate({name}, 8L, (a, x) -> a + 8 + coalesce(size(x.spans), 0))"))).first()[0] or 0
-    return docs.join(F.broadcast(each) if size <= 1 << 22 else each, F.col("doc_id") == F.col("_decided"), "left").drop("_decided")
+    size = each.agg(F.sum(F.expr(f"8L + coalesce(greatest(size({name}.spans), 0), 0)"))).first()[0] or 0
+    joined = docs.withColumn(own, key_column(F.col("text"))).join(F.broadcast(each) if size <= 1 << 22 else each, F.col(own) == F.col(theirs), "left")
+    decided = F.struct(whole(F.col(name)).alias("whole"), F.col(name)["spans"].alias("spans"))
+    return joined.drop(own, theirs).withColumn(name, F.when(F.col(name).isNotNull() & whole(F.col(name)).isNotNull(), decided))
