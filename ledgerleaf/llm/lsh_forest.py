@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import WordHashes, if_small, mixed, sliced, texts_of, window_hashes
+from ledgerleaf.llm.common import WORD, WordHashes, free_names, if_small, key_column, mixed, sliced, texts_of, window_hashes
 from ledgerleaf.llm.components import components
 from ledgerleaf.llm.ranks import rank_within
 from ledgerleaf.store import materialize
@@ -64,7 +64,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sig) of every document; key names its set of runs, null without words."""
+    """(doc_id, text_key, key, sig) of every document; key names its set of runs, null without words."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -74,9 +74,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 found = shingles(text, hashes)
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sigs.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "key", "sig"])
+            arrays = [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_key", "key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, key binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_column(F.col("text")).alias("text_key"), "text")
+    return rows.mapInArrow(made, "doc_id long, text_key binary, key binary, sig binary")
 
 
 def _prefixes(nodes: DataFrame, length: int) -> DataFrame:
@@ -215,9 +217,16 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     none; a class of documents without ids has a null name; repeated rows are documents of their own; an empty table
     gives no rows.
     """
+    return classes(docs, recall).select("doc_id", "class_id", "n_links")
+
+
+def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(doc_id, text_key, root, class_id, n_links) for every document; root names its class and is null without words."""
     sigs = materialize(signatures(docs), "signatures")
     named = sigs.filter("key is not null").groupBy("key")
-    nodes = materialize(named.agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min("sig").alias("sig")), "nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    nodes = named.agg(F.count(F.lit(1)).alias("copies"), first, F.min("sig").alias("sig"))
+    nodes = materialize(nodes.select("key", "copies", "sig", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text")), "nodes")
     cluster = clusters(nodes, recall)
     verified = materialize(_verified(docs, nodes, cluster), "links")
     links = verified.filter("v is null").groupBy("u").agg(F.sum("links").alias("links"))
@@ -226,21 +235,21 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     known = known.select("key", "first_id", F.coalesce("root", "key").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     known = materialize(known, "classes")
     least = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = known.join(least, "root").select(F.col("key").alias("_key"), "class_id", "n_links")
+    named = known.join(least, "root").select(F.col("key").alias("_key"), "root", "class_id", "n_links")
     alone = F.col("key").isNull()
-    return sigs.join(classes, F.col("key") == F.col("_key"), "left").select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    return sigs.join(named, F.col("key") == F.col("_key"), "left").select(
+        "doc_id", "text_key", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, cluster: DataFrame) -> DataFrame:
     """(u, v, links): links counted for u where v is null, else a link of a spanning forest."""
-    of_cluster = nodes.select("key", "copies", "first_id").join(cluster, F.col("key") == F.col("node")).select("root", "key", "copies", "first_id")
+    of_cluster = nodes.join(cluster, F.col("key") == F.col("node")).select("root", "key", "copies", "first_id", "first_text")
     ranked = rank_within(of_cluster, ["root"], ["key"], "_rank").withColumn("block", F.expr(f"_rank div {BLOCK}"))
     ranked = materialize(ranked, "ranked")
     blocks = ranked.groupBy("root").agg((F.max("block") + 1).alias("_blocks"))
     paired = ranked.join(blocks, "root").withColumn("_other", F.explode(F.expr("sequence(0L, _blocks - 1)")))
-    paired = materialize(paired.select("root", "key", "copies", "first_id", "block", F.least("block", "_other").alias("a"), F.greatest("block", "_other").alias("b")), "pairs")
+    paired = materialize(paired.select("root", "key", "copies", "block", F.least("block", "_other").alias("a"), F.greatest("block", "_other").alias("b")), "pairs")
     texts = _keyed_texts(docs, ranked)
     parts = max(1, -(-paired.count() // 1000))
     sent = if_small(paired).join(texts, paired["key"] == texts["_key"]).select(
@@ -251,28 +260,28 @@ def _verified(docs: DataFrame, nodes: DataFrame, cluster: DataFrame) -> DataFram
 
 def _keyed_texts(docs: DataFrame, ranked: DataFrame) -> DataFrame:
     """(_key, text): one text for each set of runs in ``ranked``."""
-    wanted = if_small(ranked.select(F.col("first_id").alias("_first"), F.col("key").alias("_key")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_first"))).select("_key", "text")
-
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in sliced(batches):
-            same = [hashlib.blake2b(shingles(t, hashes).tobytes(), digest_size=16).digest() == k for t, k in zip(texts_of(batch), batch.column("_key").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    return joined.mapInArrow(right, "_key binary, text string").dropDuplicates(["_key"])
+    wanted = if_small(ranked.select("first_id", "first_text", F.col("key").alias("_key")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_column(F.col("text")).alias("text_key"), "text")
+    same = (F.col("text_key") == F.col("first_text")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    return rows.join(wanted, same).select("_key", "text").dropDuplicates(["_key"])
 
 
 def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """The documents that stay if of each class of near-duplicates only the one with the least doc_id does.
+    """The rows that stay if of each class of near-duplicates only one does: that with the least doc_id, then text key.
 
-    Rows that share an id count as one document, of which one row stays; documents without an id stay.
+    Defined cases: rows are told apart by id and text, so texts that share an id are judged each on its own; rows without
+    an id come last in their class; of rows with the same id and text one stays, whichever; texts without words (and
+    null) are in no class and all stay; columns may have any names.
     """
-    classes = near_duplicates(docs, recall).filter("doc_id is not null")
-    stays = materialize(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("class_id").alias("class_id")).filter("doc_id = class_id"), "stays")
-    single, several = (stays.filter(x).select(F.col("doc_id").alias("_stays")) for x in ("rows = 1", "rows > 1"))
-    same = F.col("doc_id").cast("long") == F.col("_stays")
-    kept = docs.join(if_small(single), same, "left_semi")
-    repeated = docs.join(if_small(several), same, "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    rows = classes(docs, recall).filter("root is not null").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "rows")).alias("least")
+    number, key, number_kept, key_kept = free_names(docs, "_id", "_key", "_id_kept", "_key_kept")
+    stays = rows.groupBy("root").agg(least).select(F.col("least.doc_id").alias(number_kept), F.col("least.text_key").alias(key_kept), F.col("least.rows").alias("rows"))
+    stays = materialize(stays, "stays")
+    single, several = (stays.filter(x).drop("rows") for x in ("rows = 1", "rows > 1"))
+    wordless = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
+    named = docs.filter(~wordless).withColumns({number: F.col("doc_id").cast("long"), key: key_column(F.col("text"))})
+    same = (F.col(key) == F.col(key_kept)) & F.col(number).eqNullSafe(F.col(number_kept))
+    kept = named.join(if_small(single), same, "left_semi")
+    repeated = named.join(if_small(several), same, "left_semi").dropDuplicates([number, key])
+    return kept.unionByName(repeated).drop(number, key).unionByName(docs.filter(wordless))

@@ -80,11 +80,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
-    """The mixture itself: each document as often as ``mix`` takes it, with all its columns."""
-    state = _shares(_sizes(docs, seed), weights, max_repeats).withColumnRenamed("source", "_source")
-    state = state.select("_source", "_full", "_prefix", "_with")
-    rows = docs.withColumn("_h", unit_hash(seed, F.col("doc_id"))).join(state, F.col("source").eqNullSafe(F.col("_source")))
-    return rows.filter(_copies() > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), _copies()))).select(*docs.columns)
+    """The mixture itself: each document as often as ``mix`` takes it, with all its columns, which may have any names.
+
+    Defined cases: as in ``mix``; rows that share an id are taken alike, each as often as the other.
+    """
+    state = _shares(_sizes(docs, seed), weights, max_repeats).select("source", "_full", "_prefix", "_with")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), unit_hash(seed, F.col("doc_id")).alias("_h"))
+    rows = rows.join(state, F.col("row.source").eqNullSafe(F.col("source"))).withColumn("_copies", _copies()).filter("_copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")
 
 
 def _refined(small: DataFrame, state: DataFrame, level: int) -> DataFrame:
