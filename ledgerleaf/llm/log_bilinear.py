@@ -2,21 +2,22 @@
 
 Tokens are states: each of the ``HEAD`` most frequent ones that occur ``LEAST`` times has one, all others share
 ``CLASSES`` states by the hash of their last two bytes. From the vectors of the two states before it, weighted by
-position, the model predicts a vector. States of like frequency form groups, about as many as a group has states: the
-probability of a state is a softmax over the groups' vectors times a softmax over the target vectors of its group, both
-computed in full. Within a class a token has its add-one share of the training counts, with one place for unknown
-tokens, so probabilities of tokens add up to one.
-
-Counts are of the whole training part. Training passes over all of it in rounds: every task improves the broadcast model
-on its documents, against noise drawn from the frequencies of all states (and of groups, for their vectors), and each
-vector is averaged over the tasks that changed it, by how often they did.
+position, the model predicts a vector. States of like frequency form groups and groups form groups of groups, all of
+about as many members: the probability of a state is the product of three softmaxes, each over the target vectors of the
+members of one node and computed in full. Within a class a token has its add-one share of the training counts, with one
+place for unknown tokens, so probabilities of tokens add up to one.
+
+Counts are of the whole training part, which is learned from once, a part of it in each round. Its states are dealt in
+pieces to shards of ``SHARD`` tokens, so the number of shards follows from the tokens and not from the tasks. In a round
+every shard improves the broadcast model, against noise drawn from the frequencies of the nodes of each level, and each
+vector is averaged over the shards that changed it, by how often they did, at most ``FAN`` shards at a time.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +34,12 @@ HEAD = 150_000
 #: Occurrences from which a frequent word has vectors of its own; the others train the classes that unknown words have.
 LEAST = 3
 ROUNDS, BATCH, NOISE, RATE = 2, 4096, 32, 0.1
-#: Rows of the model that tasks send together.
-CHUNK = 512
+#: Rows of the model that shards send together, and how many shards are averaged at a time.
+CHUNK, FAN = 512, 64
+#: Training tokens of a shard, and of a piece, which is dealt as a whole.
+SHARD, PIECE = 4_000_000, 16_384
+#: Levels of nodes: states, groups, groups of groups.
+LEVELS = 3
 
 
 def held_out() -> Column:
@@ -118,16 +123,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 class Model:
-    """One table: vectors of the states (and of the begin) as context, of the states as target, of the groups, and the
-    weight of each component by distance. The last column is the bias of targets and groups."""
+    """One table: vectors of the states (and of the begin) as context, of the nodes of each level as target, and the
+    weight of each component by distance. The last column is the bias of targets."""
 
     def __init__(self, states: int, table: np.ndarray | None = None) -> None:
-        self.states = states
-        self.size = int(np.ceil(np.sqrt(states)))  # states in a group
-        self.groups = -(-states // self.size)
-        self.begin = states
-        self.at_target, self.at_group = states + 1, 2 * states + 1
-        self.at_weight = self.at_group + self.groups
+        self.states = self.begin = states
+        self.branch = 1  # members of a node
+        while self.branch**LEVELS < states:
+            self.branch += 1
+        self.nodes = [-(-states // self.branch**level) for level in range(LEVELS)]
+        self.at = (states + 1 + np.cumsum([0, *self.nodes])).tolist()  # first row of each level, then of the weights
+        self.at_weight = self.at[LEVELS]
         self.table = np.zeros((self.at_weight + 2, WIDTH + 1), np.float32) if table is None else table
 
     @classmethod
@@ -135,12 +141,12 @@ class Model:
         model = cls(len(frequency))
         model.table[: model.at_weight, :WIDTH] = np.random.default_rng(7).normal(0, 0.1, (model.at_weight, WIDTH))
         model.table[model.at_weight :, :WIDTH] = 1
-        model.table[model.at_target : model.at_group, WIDTH] = np.log(frequency)
-        model.table[model.at_group : model.at_weight, WIDTH] = np.log(model.by_group(frequency))
+        for level in range(LEVELS):
+            model.table[model.at[level] : model.at[level + 1], WIDTH] = np.log(model.by_node(frequency, level))
         return model
 
-    def by_group(self, frequency: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(frequency, np.arange(0, self.states, self.size))
+    def by_node(self, frequency: np.ndarray, level: int) -> np.ndarray:
+        return np.add.reduceat(frequency, np.arange(0, self.states, self.branch**level))
 
     def predicted(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         weight = self.table[self.at_weight :, :WIDTH]
@@ -148,27 +154,36 @@ class Model:
 
     def log_probabilities(self, near: np.ndarray, far: np.ndarray, states: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each state after its context; normalised over all states."""
-        guess, group = self.predicted(near, far), states // self.size
         out = np.empty(len(states), np.float64)
-        heads = self.table[self.at_group : self.at_weight]
-        for start in range(0, len(states), 4096):
-            part = slice(start, start + 4096)
-            out[part] = _log_softmax(guess[part], heads, group[part])
-        order = np.argsort(group, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else ():
-            first = int(group[rows[0]]) * self.size
-            members = self.table[self.at_target + first : self.at_target + min(first + self.size, self.states)]
-            for start in range(0, len(rows), 4096):
-                some = rows[start : start + 4096]
-                out[some] += _log_softmax(guess[some], members, states[some] - first)
+        order = np.argsort(states, kind="stable")  # rows of a node are together, at every level
+        states = states[order]
+        guess, total = self.predicted(near[order], far[order]), np.zeros(len(states))
+        for level in range(LEVELS):
+            node = states // self.branch**level
+            parent = node // self.branch if level < LEVELS - 1 else np.zeros_like(node)
+            edges = [0, *(np.flatnonzero(np.diff(parent)) + 1).tolist(), len(states)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if low == high:
+                    continue
+                first = int(parent[low]) * self.branch
+                members = self.table[self.at[level] + first : self.at[level] + min(first + self.branch, self.nodes[level])]
+                for start in range(low, high, SOFTMAX_ROWS):
+                    part = slice(start, min(start + SOFTMAX_ROWS, high))
+                    total[part] += _log_softmax(guess[part], members, node[part] - first)
+        out[order] = total
         return out
 
 
+#: Rows of a softmax at a time, so that its matrix stays in a core's cache.
+SOFTMAX_ROWS = 2048
+
+
 def _log_softmax(guess: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
-    scores = guess @ vectors[:, :WIDTH].T + vectors[:, WIDTH]
-    scores -= scores.max(axis=1, keepdims=True)
+    scores = guess @ vectors[:, :WIDTH].T
+    scores += vectors[:, WIDTH]
+    scores -= scores.max(axis=1)[:, None]
     own = scores[np.arange(len(at)), at].astype(np.float64)
-    return own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+    return own - np.log((np.exp(scores, out=scores) @ np.ones(len(vectors), np.float32)).astype(np.float64))
 
 
 def contexts(states: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +202,9 @@ class Trainer:
 
     def __init__(self, model: Model, frequency: np.ndarray, seed: int) -> None:
         self.model, self.rng = model, np.random.default_rng(seed)
-        # First row, cumulated and logarithmic noise frequency of the states and of the groups.
-        self.kinds = [(at, np.cumsum(f), np.log(NOISE * f).astype(np.float32)) for at, f in ((model.at_target, frequency), (model.at_group, model.by_group(frequency)))]
+        # First row, cumulated and logarithmic noise frequency of the nodes of each level.
+        by_node = [model.by_node(frequency, level) for level in range(LEVELS)]
+        self.kinds = [(at, np.cumsum(f), np.log(NOISE * f).astype(np.float32)) for at, f in zip(model.at, by_node, strict=False)]
         self.square = np.ones_like(model.table)
         self.touched = np.zeros(len(model.table))
 
@@ -196,26 +212,28 @@ class Trainer:
         order = self.rng.permutation(len(states))
         for start in range(0, len(order), BATCH):
             i = order[start : start + BATCH]
-            self._step(near[i], far[i], states[i])
+            self._step(*(x[i].astype(np.int64) for x in (near, far, states)))
 
     def _step(self, near: np.ndarray, far: np.ndarray, states: np.ndarray) -> None:
         m = self.model
         guess = m.predicted(near, far)
         d_guess, rows, gradients = np.zeros_like(guess), [], []
-        for (at, cdf, noise_log), right_ones in zip(self.kinds, (states, states // m.size), strict=True):
+        for level, (at, cdf, noise_log) in enumerate(self.kinds):
+            right_ones = states // m.branch**level
             noise = np.minimum(np.searchsorted(cdf, self.rng.random(NOISE)), len(cdf) - 1)
             own, others = m.table[at + right_ones], m.table[at + noise]
             right = _sigmoid((guess * own[:, :WIDTH]).sum(1) + own[:, WIDTH] - noise_log[right_ones]) - 1
             wrong = _sigmoid(guess @ others[:, :WIDTH].T + others[:, WIDTH] - noise_log[noise])
             d_guess += right[:, None] * own[:, :WIDTH] + wrong @ others[:, :WIDTH]
             rows += [at + right_ones, at + noise]
-            gradients += [np.column_stack((right[:, None] * guess, right)), np.column_stack((wrong.T @ guess, wrong.sum(0)))]
+            gradients += [_with_bias(right[:, None] * guess, right), _with_bias(wrong.T @ guess, wrong.sum(0))]
         weight = m.table[m.at_weight :, :WIDTH].copy()
         for k, before in enumerate((near, far)):
             rows += [before, np.array([m.at_weight + k])]
-            gradients += [_wide(d_guess * weight[k]), _wide((d_guess * m.table[before, :WIDTH]).sum(0, keepdims=True))]
+            gradients += [_with_bias(d_guess * weight[k], 0), _with_bias((d_guess * m.table[before, :WIDTH]).sum(0, keepdims=True), 0)]
         at = np.concatenate(rows)
-        order = np.argsort(at, kind="stable")
+        # The place below the row: keys differ, so any sort gives the same order.
+        order = np.sort(at << 32 | np.arange(len(at))) & 0xFFFFFFFF
         at = at[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         gradient = np.add.reduceat(np.concatenate(gradients)[order], first, axis=0).astype(np.float32)
@@ -226,9 +244,10 @@ class Trainer:
         self.touched[changed] += np.diff(np.append(first, len(at)))
 
 
-def _wide(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with a bias of 0."""
-    return np.pad(vectors, ((0, 0), (0, 1)))
+def _with_bias(vectors: np.ndarray, bias: np.ndarray | int) -> np.ndarray:
+    out = np.empty((len(vectors), WIDTH + 1), np.float32)
+    out[:, :WIDTH], out[:, WIDTH] = vectors, bias
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -247,58 +266,91 @@ def _blocks(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
         yield block
 
 
+def dealt(docs: DataFrame, vocab, begin: int, slots: int) -> DataFrame:
+    """(slot, states): the states of all documents in pieces, each with the two before it. Two begins precede a document.
+
+    The pieces of a task go to one slot after the other, so slots are of like size whatever the documents are.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, turn = vocab.value, None
+        for batch in batches:
+            for block in _blocks(texts_of(batch)):
+                split = [tokens(t) for t in block]
+                states, _, _ = known.read([w for words in split for w in words])
+                starts = np.repeat(np.cumsum([0, *map(len, split[:-1])]), 2)
+                line = np.insert(states, starts, begin).astype("<i4")
+                cut = [line[max(a - 2, 0) : a + PIECE].tobytes() for a in range(0, len(line), PIECE)]
+                if turn is None:
+                    turn = zlib.crc32(cut[0])
+                yield pa.RecordBatch.from_pydict({"slot": (turn + np.arange(len(cut))) % slots, "states": pa.array(cut, pa.binary())})
+                turn += len(cut)
+
+    return docs.select("text").mapInArrow(pieces, "slot long, states binary")
+
+
+def _learner(vocab, start) -> Callable[[tuple, pa.Table], pa.Table]:
+    def improved(key: tuple, table: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        model = Model(start.value.states, start.value.table.copy())
+        trainer = Trainer(model, vocab.value.frequency, shard)
+        # Batches are drawn from the whole shard, so they are as large however it is cut into pieces.
+        windows = [[], [], []]
+        for piece in sorted(table.column("states").to_pylist()):
+            line = np.frombuffer(piece, "<i4")
+            learned = np.flatnonzero(line[2:] != model.begin) + 2
+            for back, column in enumerate(windows):
+                column.append(line[learned - back])
+        states, near, far = map(np.concatenate, windows)
+        trainer.learn(near, far, states)
+        rows = np.flatnonzero(trainer.touched)
+        parts = np.split(rows, np.flatnonzero(np.diff(rows // CHUNK)) + 1) if len(rows) else []
+        return _table([(int(some[0]) // CHUNK, shard, some, trainer.touched[some], model.table[some]) for some in parts])
+
+    return improved
+
+
 def train(docs: DataFrame, vocab: Vocabulary) -> Model:
-    """Parameters averaged over tasks, after ``ROUNDS`` passes that use each document once."""
+    """Parameters averaged over shards, after ``ROUNDS`` rounds that together use each document once."""
     model = Model.initial(vocab.frequency)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(vocab)
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.lit(ROUNDS))
+    shards = max(1, -(-vocab.total // (SHARD * ROUNDS)))
+    pieces = materialize(dealt(docs, shared, model.begin, shards * ROUNDS), "pieces")
     for k in range(ROUNDS):
         start = context.broadcast(model)
-
-        def improved(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            known, trainer = shared.value, None
-            for batch in batches:
-                for block in _blocks(texts_of(batch)):
-                    if trainer is None:
-                        model = Model(start.value.states, start.value.table.copy())
-                        trainer = Trainer(model, known.frequency, TaskContext.get().partitionId())
-                    split = [tokens(t) for t in block]
-                    states, _, _ = known.read([w for words in split for w in words])
-                    starts = np.concatenate(([0], np.cumsum([len(w) for w in split])[:-1])).astype(np.int64)
-                    trainer.learn(*contexts(states, starts, model.begin), states)
-            if trainer is not None:
-                rows = np.flatnonzero(trainer.touched)
-                for some in np.split(rows, np.flatnonzero(np.diff(rows // CHUNK)) + 1):
-                    yield _rows(int(some[0]) // CHUNK, some, trainer.touched[some], model.table[some])
-
-        made = docs.filter(turn == k).select("text").mapInArrow(improved, _ROWS)
+        of_round = pieces.filter(F.col("slot") % ROUNDS == k).select(F.expr(f"slot div {ROUNDS}").alias("shard"), "states")
+        made, left = of_round.groupBy("shard").applyInArrow(_learner(shared, start), _ROWS), shards
+        while left:
+            made = made.withColumn("part", F.expr(f"part div {FAN}")).groupBy("chunk", "part").applyInArrow(_averaged, _ROWS)
+            left = -(-left // FAN) if left > FAN else 0
         # As many bytes as the model has.
-        for at, vectors in made.groupBy("chunk").applyInArrow(_averaged, _ROWS).select("at", "vectors").toPandas().itertuples(index=False):
+        for at, vectors in made.select("at", "vectors").toPandas().itertuples(index=False):
             model.table[np.frombuffer(at, np.int64)] = np.frombuffer(vectors, np.float32).reshape(-1, WIDTH + 1)
     return model
 
 
-_ROWS = "chunk long, at binary, touched binary, vectors binary"
+_ROWS = "chunk long, part long, at binary, touched binary, vectors binary"
 
 
-def _rows(chunk: int, at: np.ndarray, touched: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-    blobs = (at.astype(np.int64), touched.astype(np.float64), vectors.astype(np.float32))
-    return pa.RecordBatch.from_arrays([pa.array([chunk]), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names=["chunk", "at", "touched", "vectors"])
+def _table(rows: list[tuple]) -> pa.Table:
+    """Rows of the model by chunk: (chunk, part, places, how often each was changed, vectors)."""
+    chunk, part, at, touched, vectors = zip(*rows, strict=True) if rows else [()] * 5
+    kinds = ((at, np.int64), (touched, np.float64), (vectors, np.float32))
+    blobs = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in kinds]
+    return pa.Table.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int64()), *blobs], names=[c.split()[0] for c in _ROWS.split(", ")])
 
 
 def _averaged(table: pa.Table) -> pa.Table:
-    """Rows of a chunk, averaged over tasks by how often each has changed a row."""
+    """Rows of a chunk, averaged by how often each has been changed."""
     total, touched = np.zeros((CHUNK, WIDTH + 1)), np.zeros(CHUNK)
-    chunk = table.column("chunk")[0].as_py()
-    for at, n, vectors in zip(*(table.column(c).to_pylist() for c in ("at", "touched", "vectors")), strict=True):
+    chunk, part = (table.column(c)[0].as_py() for c in ("chunk", "part"))
+    for at, n, vectors in sorted(zip(*(table.column(c).to_pylist() for c in ("at", "touched", "vectors")), strict=True)):
         place, weight = np.frombuffer(at, np.int64) - chunk * CHUNK, np.frombuffer(n, np.float64)
         total[place] += np.frombuffer(vectors, np.float32).reshape(-1, WIDTH + 1) * weight[:, None]
         touched[place] += weight
     place = np.flatnonzero(touched)
-    return pa.Table.from_batches([_rows(chunk, place + chunk * CHUNK, touched[place], total[place] / touched[place, None])])
+    return _table([(chunk, part, place + chunk * CHUNK, touched[place], total[place] / touched[place, None])])
 
 
 def score(docs: DataFrame) -> DataFrame:
