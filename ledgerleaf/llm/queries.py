@@ -33,4 +33,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_statements() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op3_mixing": mixing.SQL, "op11_merkle": merkle.SQL, "op12_periodic_runs": periodic_runs.SQL, "op13_warc": warc.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op3_mixing": mixing.SQL, "op10_sharding": sharding.SQL, "op11_merkle": merkle.SQL, "op12_periodic_runs": periodic_runs.SQL, "op13_warc": warc.SQL}

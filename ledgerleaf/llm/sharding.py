@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import unit_hash
+from ledgerleaf.llm.common import CRC_TABLE, unit_hash
 from ledgerleaf.llm.ranks import rank_within
 from ledgerleaf.store import materialize
 
@@ -49,3 +49,25 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns; the law is ``rows``."""
     out = interleave(docs)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+SQL = f"""
+WITH {CRC_TABLE}, bytes AS (
+  SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS codes
+  FROM documents
+), sizes AS (
+  SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST('0x' || substr(md5('shard|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), codes), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
+  FROM bytes, crc_table
+), ranked AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1) / (2.0::DOUBLE * count(*) OVER (PARTITION BY source)) AS place,
+         count(*) OVER () AS n
+  FROM sizes
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY place, source COLLATE "C" NULLS FIRST, h, doc_id NULLS FIRST, size, text_crc32) - 1 AS spot FROM ranked
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(spot * {SHARDS} // n AS INT) AS shard,
+       CAST(spot - (spot * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM numbered
+"""
