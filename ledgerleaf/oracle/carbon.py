@@ -145,6 +145,9 @@ def _reports() -> dict[str, str]:
         CAST(CASE WHEN o IS NULL THEN coalesce(s.score, 3) ELSE 3 END AS INTEGER) AS DataQualityScore
       FROM own r LEFT JOIN lib l ON r.hit = l.no LEFT JOIN scores s ON l.method = s.method WHERE coalesce(o, l.f) IS NOT NULL"""
     return {
+        "ghg_fact_schema": raw("SELECT site AS SiteID, scope AS Scope, activity AS ActivityType, CAST(NULL AS TIMESTAMP) AS Date, CAST(NULL AS INTEGER) AS DataQualityScore, "
+            + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in ("CategoryID", "Unit", "FactorID", "FactorUnit", "Method", "DataSource", "Note")) + ", "
+            + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("Quantity", "EmissionFactor", "EmissionFactorMarket", "tCO2e_Location", "tCO2e_Market")) + " FROM dirty"),
         "ghg_fact_clean": raw(f"SELECT d AS Date, {fact_row}, fid AS FactorID, CAST(f AS DOUBLE) / 1000000 AS EmissionFactor, method AS Method, CAST(score AS INTEGER) AS DataQualityScore, strftime(d, '%Y-%m') AS YearMonth, src AS SourceFile FROM dirty"),
         "ghg_emissions": raw(f"SELECT src AS SourceFile, site AS SiteID, activity AS ActivityType, strftime(d, '%Y-%m') AS YearMonth, {t('loc')} AS tCO2e_Location, {t('mkt')} AS tCO2e_Market FROM em2"),
         "ghg_labels": f("SELECT scope AS Scope, cat AS CategoryID, nm AS CategoryName, label AS ScopeCategory, count(*) AS Rows FROM inv GROUP BY ALL"),
