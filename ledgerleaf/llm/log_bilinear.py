@@ -16,17 +16,18 @@ vector is averaged over the shards that changed it, by how often they did, at mo
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import texts_of
-from ledgerleaf.store import materialize
+from ledgerleaf.llm.common import sliced
+from ledgerleaf.store import discard, materialize
 
 CLASSES, WIDTH = 64, 16
 #: Frequent words (of at most 64 bytes) whose counts every task holds; counts of all others are joined.
@@ -56,21 +57,75 @@ def tail_class(token: bytes) -> int:
     return zlib.crc32(token[-2:]) % CLASSES
 
 
+def batch_tokens(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """(``tokens`` of all texts of a batch, one after another; how many each text has)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+    words, of_text = split.flatten(), np.asarray(split.offsets) - split.offsets[0].as_py()
+    offsets = _offsets(words)
+    # White space at the ends of a text makes empty words, which have no bytes and go; then each text gets its end.
+    there = offsets[1:] > offsets[:-1]
+    kept = np.concatenate(([0], np.cumsum(there)))[of_text]
+    offsets = np.append(offsets[:-1][there], offsets[-1])
+    offsets = np.insert(offsets, kept[1:], offsets[kept[1:]])
+    kind = pa.large_binary() if offsets.dtype == np.int64 else pa.binary()
+    found = pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets), words.buffers()[2]])
+    return found, np.diff(kept) + 1
+
+
+def _offsets(words: pa.Array) -> np.ndarray:
+    wide = pa.types.is_large_string(words.type) or pa.types.is_large_binary(words.type)
+    return np.frombuffer(words.buffers()[1], np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1]
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of each token."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    offsets = _offsets(words)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    data = np.concatenate((np.zeros(2, np.uint8), data[: offsets[-1]]))  # two more, so that no place is below 0
+    size, ends = np.diff(offsets), offsets[1:]
+    last = np.where(size > 0, data[ends + 1], 0).astype(np.int64)
+    before = np.where(size > 1, data[ends], 0).astype(np.int64)
+    return _tails()[np.minimum(size, 2) * 65536 + before * 256 + last]
+
+
+@cache
+def _tails() -> np.ndarray:
+    """Classes by number of last bytes (0, 1 or 2) and these."""
+    empty, one = np.full(65536, tail_class(b""), np.int64), np.zeros(65536, np.int64)
+    one[:256] = [tail_class(bytes([x])) for x in range(256)]
+    return np.concatenate((empty, one, [tail_class(x.to_bytes(2, "big")) for x in range(65536)]))
+
+
+#: Distinct tokens whose counts a task holds before it adds them up.
+COUNTED = 1_000_000
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, class, n): how often each token occurs. Tasks add up counts before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(map(tail_class, c), pa.int32()), pa.array(c.values(), pa.int64())], names=["token", "class", "n"])
-
-        total: Counter = Counter()
-        for batch in batches:
-            for text in texts_of(batch):
-                total.update(tokens(text))
-                if len(total) > 1_000_000:
-                    yield rows(total)
-                    total.clear()
-        yield rows(total)
+        def rows(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            for table in held:
+                words = table["token"].combine_chunks()
+                classes = pa.array(tail_classes(words).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), classes, table["n"].combine_chunks()], names=["token", "class", "n"])
+
+        def added(held: list[pa.Table]) -> list[pa.Table]:
+            sums = pa.concat_tables(held).group_by("token").aggregate([("n", "sum")]) if held else None
+            return [sums.select(["token", "n_sum"]).rename_columns(["token", "n"])] if held else []
+
+        held: list[pa.Table] = []
+        for batch in sliced(batches, 8 << 20):
+            found = batch_tokens(batch)[0].value_counts()
+            held.append(pa.table({"token": found.field("values"), "n": found.field("counts")}))
+            if sum(map(len, held)) > COUNTED:
+                held = added(held)
+                if len(held[0]) > COUNTED // 2:
+                    yield from rows(held)
+                    held = []
+        yield from rows(added(held))
 
     made = docs.select("text").mapInArrow(counted, "token binary, class int, n long")
     return made.groupBy("token", "class").agg(F.sum("n").alias("n"))
@@ -80,7 +135,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """State and count of the frequent tokens, totals of the classes, and N and V of all tokens. Classes follow the own states."""
 
-    place: dict[bytes, int]
+    words: pa.Array
     state: np.ndarray
     count: np.ndarray
     class_total: np.ndarray  # N + V + 1 of each class
@@ -89,14 +144,12 @@ class Vocabulary:
     distinct: int
     own: int  # tokens with a state of their own
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    def read(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """(state of each token, its place among the frequent ones or -1, the tokens that have none)."""
-        get = self.place.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = pc.fill_null(pc.index_in(words, value_set=self.words.cast(words.type)), -1).to_numpy().astype(np.int32)
         states = self.state[at]
-        missing = np.flatnonzero(at < 0)
-        rare = [words[i] for i in missing.tolist()]
-        states[missing] = np.fromiter(map(tail_class, rare), np.int64, len(rare)) + self.own
+        rare = words.filter(pa.array(at < 0))
+        states[at < 0] = tail_classes(rare) + self.own
         return states, at, rare
 
 
@@ -119,7 +172,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     np.subtract.at(n, top["class"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
     np.subtract.at(v, top["class"].to_numpy(np.int64), 1)
     frequency = np.concatenate((count[:own], n)) + 0.5
-    return Vocabulary({w: i for i, w in enumerate(words)}, np.append(state, 0), np.append(count, 0), n + v + 1.0, frequency / frequency.sum(), total, distinct, own)
+    return Vocabulary(pa.array(words, pa.binary()), np.append(state, 0), np.append(count, 0), n + v + 1.0, frequency / frequency.sum(), total, distinct, own)
 
 
 class Model:
@@ -149,39 +202,54 @@ class Model:
         return np.add.reduceat(frequency, np.arange(0, self.states, self.branch**level))
 
     def predicted(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-        weight = self.table[self.at_weight :, :WIDTH]
-        return self.table[near, :WIDTH] * weight[0] + self.table[far, :WIDTH] * weight[1]
+        """The vector after each context, and a one, so that a product with a row of targets includes its bias."""
+        return self.guess(self.table.take(near, axis=0), self.table.take(far, axis=0))
+
+    def guess(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """``predicted`` from the rows of the two states."""
+        weight = self.table[self.at_weight :]
+        guess = near * weight[0]
+        guess += far * weight[1]
+        guess[:, WIDTH] = 1
+        return guess
 
     def log_probabilities(self, near: np.ndarray, far: np.ndarray, states: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each state after its context; normalised over all states."""
         out = np.empty(len(states), np.float64)
         order = np.argsort(states, kind="stable")  # rows of a node are together, at every level
-        states = states[order]
-        guess, total = self.predicted(near[order], far[order]), np.zeros(len(states))
-        for level in range(LEVELS):
-            node = states // self.branch**level
-            parent = node // self.branch if level < LEVELS - 1 else np.zeros_like(node)
-            edges = [0, *(np.flatnonzero(np.diff(parent)) + 1).tolist(), len(states)]
-            for low, high in zip(edges[:-1], edges[1:], strict=True):
-                if low == high:
-                    continue
-                first = int(parent[low]) * self.branch
-                members = self.table[self.at[level] + first : self.at[level] + min(first + self.branch, self.nodes[level])]
-                for start in range(low, high, SOFTMAX_ROWS):
-                    part = slice(start, min(start + SOFTMAX_ROWS, high))
-                    total[part] += _log_softmax(guess[part], members, node[part] - first)
-        out[order] = total
+        lengths = np.sqrt(np.einsum("ij,ij->i", self.table[:, :WIDTH], self.table[:, :WIDTH]))
+        for start in range(0, len(order), GUESSES):  # vectors of so many contexts are held
+            i = order[start : start + GUESSES]
+            guess = self.predicted(near[i], far[i])
+            reach, total, some = float(np.sqrt(np.einsum("ij,ij->i", guess, guess).max())), np.zeros(len(i)), states[i]
+            for level in range(LEVELS):
+                node = some // self.branch**level
+                parent = node // self.branch if level < LEVELS - 1 else np.zeros_like(node)
+                edges = [0, *(np.flatnonzero(np.diff(parent)) + 1).tolist(), len(node)]
+                for low, high in zip(edges[:-1], edges[1:], strict=True):
+                    first = int(parent[low]) * self.branch
+                    rows = slice(self.at[level] + first, self.at[level] + min(first + self.branch, self.nodes[level]))
+                    members = self.table[rows].copy()
+                    members[:, WIDTH] -= members[:, WIDTH].max()  # the softmax stays as it is
+                    safe = reach * float(lengths[rows].max()) < 80
+                    for begin in range(low, high, SOFTMAX_ROWS):
+                        part = slice(begin, min(begin + SOFTMAX_ROWS, high))
+                        total[part] += _log_softmax(guess[part], members, node[part] - first, safe)
+            out[i] = total
         return out
 
 
+#: Contexts whose vectors are made at a time.
+GUESSES = 1 << 16
 #: Rows of a softmax at a time, so that its matrix stays in a core's cache.
 SOFTMAX_ROWS = 2048
 
 
-def _log_softmax(guess: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
-    scores = guess @ vectors[:, :WIDTH].T
-    scores += vectors[:, WIDTH]
-    scores -= scores.max(axis=1)[:, None]
+def _log_softmax(guess: np.ndarray, vectors: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """``safe`` tells that some score of each row is over -80 and none over 80, so that exp neither vanishes nor overflows."""
+    scores = guess @ vectors.T
+    if not safe:
+        scores -= scores.max(axis=1)[:, None]
     own = scores[np.arange(len(at)), at].astype(np.float64)
     return own - np.log((np.exp(scores, out=scores) @ np.ones(len(vectors), np.float32)).astype(np.float64))
 
@@ -208,62 +276,84 @@ class Trainer:
         self.square = np.ones_like(model.table)
         self.touched = np.zeros(len(model.table))
 
-    def learn(self, near: np.ndarray, far: np.ndarray, states: np.ndarray) -> None:
-        order = self.rng.permutation(len(states))
-        for start in range(0, len(order), BATCH):
-            i = order[start : start + BATCH]
-            self._step(*(x[i].astype(np.int64) for x in (near, far, states)))
+    def learn(self, line: np.ndarray, heads: np.ndarray) -> None:
+        """``line`` holds pieces from ``heads`` on, of which the first two states are context; begins aren't learned."""
+        learned = line != self.model.begin
+        learned[heads] = learned[heads + 1] = False
+        places = np.flatnonzero(learned).astype(np.int32)
+        self.rng.shuffle(places)
+        for start in range(0, len(places), BATCH):
+            at = places[start : start + BATCH]
+            # By state, so that the rows of a node are together at every level.
+            keyed = np.sort(line[at].astype(np.int64) << 32 | at)
+            at = keyed & 0xFFFFFFFF
+            self._step(line[at - 1].astype(np.int64), line[at - 2].astype(np.int64), keyed >> 32)
 
     def _step(self, near: np.ndarray, far: np.ndarray, states: np.ndarray) -> None:
+        """One batch, whose states ascend. Each row is changed once, by all of its gradients."""
         m = self.model
-        guess = m.predicted(near, far)
-        d_guess, rows, gradients = np.zeros_like(guess), [], []
-        for level, (at, cdf, noise_log) in enumerate(self.kinds):
+        near_rows, far_rows = m.table.take(near, axis=0), m.table.take(far, axis=0)
+        guess = m.guess(near_rows, far_rows)
+        noise = [np.minimum(np.searchsorted(cdf, self.rng.random(NOISE)), len(cdf) - 1) for _, cdf, _ in self.kinds]
+        others = m.table[np.concatenate([at + x for (at, _, _), x in zip(self.kinds, noise, strict=True)])]
+        others_log = np.concatenate([noise_log[x] for (_, _, noise_log), x in zip(self.kinds, noise, strict=True)])
+        wrong = guess @ others.T
+        wrong -= others_log
+        wrong = _sigmoid(wrong)
+        d_guess, d_others, changes = wrong @ others, wrong.T @ guess, []
+        for level, (at, _, noise_log) in enumerate(self.kinds):
             right_ones = states // m.branch**level
-            noise = np.minimum(np.searchsorted(cdf, self.rng.random(NOISE)), len(cdf) - 1)
-            own, others = m.table[at + right_ones], m.table[at + noise]
-            right = _sigmoid((guess * own[:, :WIDTH]).sum(1) + own[:, WIDTH] - noise_log[right_ones]) - 1
-            wrong = _sigmoid(guess @ others[:, :WIDTH].T + others[:, WIDTH] - noise_log[noise])
-            d_guess += right[:, None] * own[:, :WIDTH] + wrong @ others[:, :WIDTH]
-            rows += [at + right_ones, at + noise]
-            gradients += [_with_bias(right[:, None] * guess, right), _with_bias(wrong.T @ guess, wrong.sum(0))]
-        weight = m.table[m.at_weight :, :WIDTH].copy()
-        for k, before in enumerate((near, far)):
-            rows += [before, np.array([m.at_weight + k])]
-            gradients += [_with_bias(d_guess * weight[k], 0), _with_bias((d_guess * m.table[before, :WIDTH]).sum(0, keepdims=True), 0)]
-        at = np.concatenate(rows)
+            own = m.table.take(at + right_ones, axis=0)
+            right = _sigmoid(np.einsum("ij,ij->i", guess, own) - noise_log[right_ones]) - 1
+            own *= right[:, None]
+            d_guess += own
+            more = d_others[level * NOISE : (level + 1) * NOISE]
+            changes.append((at, *_with_noise(*_summed(right_ones, right[:, None] * guess), noise[level], more)))
+        weight = m.table[m.at_weight :].copy()
+        weight[:, WIDTH] = d_guess[:, WIDTH] = 0
+        towards = np.concatenate((d_guess * weight[0], d_guess * weight[1]))
+        before = np.concatenate((near, far))
         # The place below the row: keys differ, so any sort gives the same order.
-        order = np.sort(at << 32 | np.arange(len(at))) & 0xFFFFFFFF
-        at = at[order]
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        gradient = np.add.reduceat(np.concatenate(gradients)[order], first, axis=0).astype(np.float32)
-        changed = at[first]
-        square = self.square[changed] + gradient * gradient
-        self.square[changed] = square
-        m.table[changed] -= RATE * gradient / np.sqrt(square)
-        self.touched[changed] += np.diff(np.append(first, len(at)))
-
-
-def _with_bias(vectors: np.ndarray, bias: np.ndarray | int) -> np.ndarray:
-    out = np.empty((len(vectors), WIDTH + 1), np.float32)
-    out[:, :WIDTH], out[:, WIDTH] = vectors, bias
-    return out
+        keyed = np.sort(before << 32 | np.arange(len(before)))
+        changes.append((0, *_summed(keyed >> 32, towards.take(keyed & 0xFFFFFFFF, axis=0))))
+        of_weight = [np.einsum("ij,ij->j", d_guess, x) for x in (near_rows, far_rows)]
+        changes.append((m.at_weight, np.arange(2), np.stack(of_weight), np.ones(2, np.int64)))
+        for at, rows, gradient, often in changes:
+            self._change(at + rows, gradient, often)
+
+    def _change(self, rows: np.ndarray, gradient: np.ndarray, often: np.ndarray) -> None:
+        square = gradient * gradient
+        square += self.square.take(rows, axis=0)
+        self.square[rows] = square
+        gradient *= np.float32(RATE)
+        gradient /= np.sqrt(square, out=square)
+        self.model.table[rows] = self.model.table.take(rows, axis=0) - gradient
+        self.touched[rows] += often
+
+
+def _summed(rows: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each of the rows, which ascend, its gradients' sum, how many they are)."""
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    return rows[first], np.add.reduceat(gradients, first, axis=0), np.diff(np.append(first, len(rows)))
+
+
+def _with_noise(rows: np.ndarray, gradient: np.ndarray, often: np.ndarray, noise: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the gradients of the noise, whose rows may be among them or not."""
+    order = np.argsort(noise, kind="stable")
+    others, added, times = _summed(noise[order], more[order])
+    place = np.minimum(np.searchsorted(rows, others), len(rows) - 1)
+    known = rows[place] == others
+    gradient[place[known]] += added[known]
+    often[place[known]] += times[known]
+    return np.append(rows, others[~known]), np.concatenate((gradient, added[~known])), np.append(often, times[~known])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
-def _blocks(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
-    block, size = [], 0
-    for text in texts:
-        block.append(text)
-        size += len(text)
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    """The logistic function, in place."""
+    with np.errstate(over="ignore"):  # exp of a far negative one is infinite, and its inverse 0
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def dealt(docs: DataFrame, vocab, begin: int, slots: int) -> DataFrame:
@@ -274,17 +364,18 @@ def dealt(docs: DataFrame, vocab, begin: int, slots: int) -> DataFrame:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, turn = vocab.value, None
-        for batch in batches:
-            for block in _blocks(texts_of(batch)):
-                split = [tokens(t) for t in block]
-                states, _, _ = known.read([w for words in split for w in words])
-                starts = np.repeat(np.cumsum([0, *map(len, split[:-1])]), 2)
-                line = np.insert(states, starts, begin).astype("<i4")
-                cut = [line[max(a - 2, 0) : a + PIECE].tobytes() for a in range(0, len(line), PIECE)]
-                if turn is None:
-                    turn = zlib.crc32(cut[0])
-                yield pa.RecordBatch.from_pydict({"slot": (turn + np.arange(len(cut))) % slots, "states": pa.array(cut, pa.binary())})
-                turn += len(cut)
+        for batch in sliced(batches):
+            words, sizes = batch_tokens(batch)
+            if not len(sizes):
+                continue
+            states, _, _ = known.read(words)
+            starts = np.repeat(np.cumsum([0, *sizes[:-1]]), 2)
+            line = np.insert(states, starts, begin).astype("<i4")
+            cut = [line[max(a - 2, 0) : a + PIECE].tobytes() for a in range(0, len(line), PIECE)]
+            if turn is None:
+                turn = zlib.crc32(cut[0])
+            yield pa.RecordBatch.from_pydict({"slot": (turn + np.arange(len(cut))) % slots, "states": pa.array(cut, pa.binary())})
+            turn += len(cut)
 
     return docs.select("text").mapInArrow(pieces, "slot long, states binary")
 
@@ -294,15 +385,14 @@ def _learner(vocab, start) -> Callable[[tuple, pa.Table], pa.Table]:
         shard = key[0].as_py()
         model = Model(start.value.states, start.value.table.copy())
         trainer = Trainer(model, vocab.value.frequency, shard)
-        # Batches are drawn from the whole shard, so they are as large however it is cut into pieces.
-        windows = [[], [], []]
-        for piece in sorted(table.column("states").to_pylist()):
-            line = np.frombuffer(piece, "<i4")
-            learned = np.flatnonzero(line[2:] != model.begin) + 2
-            for back, column in enumerate(windows):
-                column.append(line[learned - back])
-        states, near, far = map(np.concatenate, windows)
-        trainer.learn(near, far, states)
+        # Batches are drawn from the whole shard, so they are as large however it is cut into pieces. The states that
+        # precede a piece are context only; they are at the end of another one.
+        pieces = sorted(table.column("states").to_pylist())
+        del table
+        sizes = [len(p) // 4 for p in pieces]
+        line = np.frombuffer(b"".join(pieces), "<i4")
+        del pieces
+        trainer.learn(line, np.cumsum([0, *sizes[:-1]]))
         rows = np.flatnonzero(trainer.touched)
         parts = np.split(rows, np.flatnonzero(np.diff(rows // CHUNK)) + 1) if len(rows) else []
         return _table([(int(some[0]) // CHUNK, shard, some, trainer.touched[some], model.table[some]) for some in parts])
@@ -326,7 +416,8 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Model:
             left = -(-left // FAN) if left > FAN else 0
         # As many bytes as the model has.
         for at, vectors in made.select("at", "vectors").toPandas().itertuples(index=False):
-            model.table[np.frombuffer(at, np.int64)] = np.frombuffer(vectors, np.float32).reshape(-1, WIDTH + 1)
+            model.table[np.frombuffer(at, np.int32)] = np.frombuffer(vectors, np.float32).reshape(-1, WIDTH + 1)
+    discard(pieces)
     return model
 
 
@@ -336,7 +427,7 @@ _ROWS = "chunk long, part long, at binary, touched binary, vectors binary"
 def _table(rows: list[tuple]) -> pa.Table:
     """Rows of the model by chunk: (chunk, part, places, how often each was changed, vectors)."""
     chunk, part, at, touched, vectors = zip(*rows, strict=True) if rows else [()] * 5
-    kinds = ((at, np.int64), (touched, np.float64), (vectors, np.float32))
+    kinds = ((at, np.int32), (touched, np.float32), (vectors, np.float32))
     blobs = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in kinds]
     return pa.Table.from_arrays([pa.array(chunk, pa.int64()), pa.array(part, pa.int64()), *blobs], names=[c.split()[0] for c in _ROWS.split(", ")])
 
@@ -346,7 +437,7 @@ def _averaged(table: pa.Table) -> pa.Table:
     total, touched = np.zeros((CHUNK, WIDTH + 1)), np.zeros(CHUNK)
     chunk, part = (table.column(c)[0].as_py() for c in ("chunk", "part"))
     for at, n, vectors in sorted(zip(*(table.column(c).to_pylist() for c in ("at", "touched", "vectors")), strict=True)):
-        place, weight = np.frombuffer(at, np.int64) - chunk * CHUNK, np.frombuffer(n, np.float64)
+        place, weight = np.frombuffer(at, np.int32) - chunk * CHUNK, np.frombuffer(n, np.float32).astype(np.float64)
         total[place] += np.frombuffer(vectors, np.float32).reshape(-1, WIDTH + 1) * weight[:, None]
         touched[place] += weight
     place = np.flatnonzero(touched)
@@ -372,26 +463,26 @@ def score(docs: DataFrame) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         log_count = np.log10(known.count + 1.0)
         log_class = np.append(np.zeros(known.own), np.log10(known.class_total))
-        for batch in batches:
-            done = 0
-            for block in _blocks(texts_of(batch)):
-                split = [tokens(t) for t in block]
-                sizes = np.array([len(w) for w in split])
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-                states, at, rare = known.read([w for words in split for w in words])
-                model_log = model.log_probabilities(*contexts(states, starts, model.begin), states) / np.log(10)
-                own = np.where(at < 0, 0, log_count[at])
-                in_class = np.where(states >= known.own, own - log_class[states], 0)
-                missing = np.add.reduceat((at < 0).astype(np.int64), starts)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(missing))).astype(np.int32))
-                n = len(block)
-                columns = [
-                    pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(done, n), batch.column("held_out").slice(done, n), pa.array(sizes.astype(np.int64)),
-                    pa.array(sizes - missing), pa.array(np.add.reduceat(own, starts)), pa.array(np.add.reduceat(model_log + in_class, starts)),
-                    pa.ListArray.from_arrays(offsets, pa.array(rare, pa.binary())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
-                row, done = row + n, done + n
+        for batch in sliced(batches, 8 << 20):
+            words, sizes = batch_tokens(batch)
+            if not len(sizes):
+                continue
+            states, at, rare = known.read(words)
+            del words
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+            model_log = model.log_probabilities(*contexts(states, starts, model.begin), states)
+            model_log /= np.log(10)
+            own = np.where(at < 0, 0, log_count[at])
+            model_log += np.where(states >= known.own, own - log_class[states], 0)
+            missing = np.add.reduceat(at < 0, starts, dtype=np.int64)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(missing))).astype(np.int32))
+            columns = [
+                pa.array(np.arange(row, row + len(sizes))), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes.astype(np.int64)),
+                pa.array(sizes - missing), pa.array(np.add.reduceat(own, starts)), pa.array(np.add.reduceat(model_log, starts)),
+                pa.ListArray.from_arrays(offsets, rare.cast(pa.binary())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"])
+            row += len(sizes)
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>"
     parts = materialize(rows.mapInArrow(scored, schema), "scored")
