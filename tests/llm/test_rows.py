@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerleaf.llm import log_bilinear, lsh_forest, mixing, phrase_automata, prefix_doubling
+from ledgerleaf.llm import log_bilinear, lsh_forest, mixing, phrase_automata, prefix_doubling, repeats
 
 
 def _text(seed, words=120):
@@ -46,6 +46,32 @@ def test_strings_of_split_shards_without_ids(spark, monkeypatch):
     assert got == sorted((len(t), n, sha) for t, (n, sha) in zip(texts, _removed(texts, 400), strict=True))
 
 
+def test_parts_of_a_passage_that_texts_repeat(spark):
+    """A passage twelve times in each of 90 texts: no part of a split shard gets much more than two shards' units."""
+    runs = repeats.Runs(400, 48, 20_000, False, True)
+    passage = _text(13, 150)[:420]
+    rows = [(i, "".join(_text(1000 + 12 * i + k, 60)[:200] + passage for k in range(12))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = repeats.distinct_texts(repeats.scan(docs, runs))
+    sent = repeats.stretches(docs, repeats.recurring(texts, runs), runs).collect()
+    sizes, homes = Counter(), Counter()
+    for r in sent:
+        sizes[r.shard, r.part] += len(r.stretch)
+        homes[r.shard, r.part] += len(r.stretch) * r.own
+    assert len({r.key for r in sent}) == 90 and sum(sizes.values()) > 90 * 12 * 400
+    assert max(sizes[k] - homes[k] for k in sizes) <= 4 * runs.units  # by hash, so not all are alike
+
+
+def test_passages_that_texts_repeat_in_split_shards(spark, monkeypatch):
+    """The same with ends of their own and in shards split in many parts: results as by counting every string."""
+    monkeypatch.setattr(prefix_doubling, "RUNS", repeats.Runs(400, 48, 4000, False, True))
+    passage = _text(13, 150)[:420]
+    rows = [(i, "".join(_text(1000 + 12 * i + k, 60)[:100] + passage[: 380 + i] for k in range(6))) for i in range(40)]
+    got = sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in prefix_doubling.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts = [t.encode() for _, t in rows]
+    assert got == sorted((len(t), n, sha) for t, (n, sha) in zip(texts, _removed(texts, 400), strict=True))
+
+
 def _shingles(text):
     words = (text or "").split()
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
