@@ -43,3 +43,11 @@ def test_texts_that_look_like_cut_dates(spark):
     texts = ["=,2024,1,3,,,,,,,", "=,2024,1,3,,/,10,5,x,p,", " =,2024,1,3,,/,10,5,7,p,", "=", "2024-01-03 10:00:60"]
     got = with_dates(_rows(spark, *texts), {"d": F.col("PostingDate")}).orderBy("LineNo").collect()
     assert [str(r.d_month) for r in got] == ["None"] * 4 + ["2024-01-03 10:01:00"]
+
+
+def test_filter_of_unread_dates_computes_no_reading_again(spark):
+    """The filter used to be pushed into the readings, and each of them was computed several times."""
+    df = canonical.unread_dates(_rows(spark, "2024-01-03", "Q1 1995", "31/02/1995", "Q2 1996", "nan"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?i)^") == 1
+    got = {(r.Field, r.Outline, r.Lines, r.Example) for r in df.collect()}
+    assert got == {(f, o, n, x) for f in canonical.DATE_FIELDS for o, n, x in (("a9 9999", 2, "Q1 1995"), ("99/99/9999", 1, "31/02/1995"))}
