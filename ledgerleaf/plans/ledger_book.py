@@ -26,6 +26,10 @@ class LedgerBook:
         self.cfg = cfg
         self._narrow: dict[tuple[str, ...], DataFrame] = {}
 
+    def write_lines(self) -> None:
+        """Write the lines, for runs that read them many times: each reading of a plan would derive them again."""
+        self.lines = materialize(self.lines, "lines")
+
     @cached_property
     def accounts(self) -> DataFrame:
         """Written, so that the join to the lines is planned on the dimension's real size."""

@@ -35,6 +35,8 @@ def mart_rows(spark: SparkSession, run_dir: str, names: list[str]) -> DataFrame:
 def write_ledger_marts(book: LedgerBook, run_dir: str, only: tuple[str, ...] | None = None) -> list[str]:
     """By year, preparer and month, flags, settlements, accounts and quality, or some of them. Shared inputs are computed once."""
     year = F.year("PostingDate").alias("Year")
+    if only is None:
+        book.write_lines()
     marts: dict[str, tuple[Callable[[], DataFrame | None], str | None]] = {
         "by_year": (lambda: reports.summary_by_year(book.postings), None),
         "by_preparer": (lambda: reports.summary_by_preparer(book.postings, book.flags), None),
