@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions.columns import plain_number
 from ledgerleaf.settings import LedgerSettings
-from ledgerleaf.store import materialize
+from ledgerleaf.store import packed_table
 
 FLAG_COLUMNS = ["PostingID", "PostingDate", "PostingType", "UserID", "PostingAmount", "Test", "Detail"]
 HEAD = FLAG_COLUMNS[:5]
@@ -123,7 +123,7 @@ def rare_account_postings(lines: DataFrame, rare: DataFrame) -> DataFrame:
 
 def rare_account_flags(postings: DataFrame, lines: DataFrame, cfg: LedgerSettings = LedgerSettings()) -> DataFrame:
     """The pairs are written first: their real size decides whether the lines are shuffled at all."""
-    rare = materialize(rare_account_years(lines, cfg), "rare-accounts")
+    rare = packed_table(rare_account_years(lines, cfg), "rare-accounts")
     touched = rare_account_postings(lines, rare)
     detail = F.concat(F.lit("Account with few postings in the year: "), F.coalesce("FirstAccountName", F.lit("")))
     return postings.join(touched, "PostingID").select(

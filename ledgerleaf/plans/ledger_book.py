@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from ledgerleaf.operators.ledger import accounts as acc
 from ledgerleaf.operators.ledger import checks, postings, quality, settlement
 from ledgerleaf.settings import LedgerSettings
-from ledgerleaf.store import materialize
+from ledgerleaf.store import packed_table
 
 
 class LedgerBook:
@@ -28,12 +28,12 @@ class LedgerBook:
 
     def write_lines(self) -> None:
         """Write the lines, for runs that read them many times: each reading of a plan would derive them again."""
-        self.lines = materialize(self.lines, "lines")
+        self.lines = packed_table(self.lines, "lines")
 
     @cached_property
     def accounts(self) -> DataFrame:
         """Written, so that the join to the lines is planned on the dimension's real size."""
-        return materialize(acc.classify_accounts(self.lines, self.chart, self.overrides, self.cfg), "accounts")
+        return packed_table(acc.classify_accounts(self.lines, self.chart, self.overrides, self.cfg), "accounts")
 
     @cached_property
     def postings_plan(self) -> DataFrame:
@@ -43,14 +43,14 @@ class LedgerBook:
     @cached_property
     def postings(self) -> DataFrame:
         """The roll-up as a table, for marts that read it more than once."""
-        return materialize(self.postings_plan, "postings")
+        return packed_table(self.postings_plan, "postings")
 
     def postings_with(self, columns: tuple[str, ...]) -> DataFrame:
         """The roll-up as a table of some columns; what only the others need is not computed. A whole table serves as well."""
         if "postings" in self.__dict__:
             return self.postings
         if columns not in self._narrow:
-            self._narrow[columns] = materialize(self.postings_plan.select(*columns), "postings")
+            self._narrow[columns] = packed_table(self.postings_plan.select(*columns), "postings")
         return self._narrow[columns]
 
     @cached_property
@@ -59,7 +59,7 @@ class LedgerBook:
 
     @cached_property
     def flags(self) -> DataFrame:
-        return materialize(self.flags_plan, "flags")
+        return packed_table(self.flags_plan, "flags")
 
     def settlements_by(self, method: str) -> DataFrame:
         return settlement.settle(self.postings_with(settlement.POSTING_COLUMNS), method, self.cfg)
@@ -67,7 +67,7 @@ class LedgerBook:
     @cached_property
     def settlements(self) -> DataFrame | None:
         method = settlement.settlement_method(self.postings_with(settlement.POSTING_COLUMNS))
-        return None if method is None else materialize(self.settlements_by(method), "settlements")
+        return None if method is None else packed_table(self.settlements_by(method), "settlements")
 
     @cached_property
     def quality(self) -> DataFrame:

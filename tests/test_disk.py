@@ -5,7 +5,7 @@ import pathlib
 
 from ledgerleaf import untidy
 from ledgerleaf.sources import exports
-from ledgerleaf.store import materialize, shared_folder
+from ledgerleaf.store import materialize, packed_table, shared_folder
 
 TEXT = 'Date,Account,Debit,Credit\n   \n2024-01-02,Cash,1,0\n2024-01-03,"two\nlines",2,0\n2024-01-04,12" pipe,3,0\n'
 
@@ -34,5 +34,6 @@ def test_states_of_quotes_are_discarded(spark, tmp_path):
 
 
 def test_tables_are_packed(spark):
-    table = materialize(spark.range(10), "numbers")
-    assert all(f.endswith(".zstd.parquet") or ".zstd." in f for f in table.inputFiles()) and table.count() == 10
+    table = packed_table(spark.range(10), "numbers")
+    assert all(".zstd." in f for f in table.inputFiles()) and table.count() == 10
+    assert not any(".zstd." in f for f in materialize(spark.range(10), "numbers").inputFiles())
